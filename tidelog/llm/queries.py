@@ -23,6 +23,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_documents
+
+    return identify_documents(_docs(spark, sf_dir))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import fingerprint_documents
 
