@@ -17,6 +17,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_documents
+
+    return classify_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bagminhash import classes_of
+
+    return classes_of(_docs(spark, sf_dir))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
