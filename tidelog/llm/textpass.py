@@ -17,7 +17,8 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[p
     """
     names = [x.split()[0] for x in fields.split(", ")]
     kept = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c not in names])
-    n = len(kept.columns)
+    columns = kept.columns
+    n = len(columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -25,8 +26,8 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[p
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], *f(part.column(n).to_pylist())], names=[*kept.columns, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *f(part.column(n).to_pylist())], names=[*columns, *names])
 
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     # the text goes along once more only where it is itself kept
-    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], whole.alias("_whole")).mapInArrow(run, ", ".join(x for x in (schema, fields) if x))
+    return docs.select(*[F.col(f"`{c}`") for c in columns], whole.alias("_whole")).mapInArrow(run, ", ".join(x for x in (schema, fields) if x))
