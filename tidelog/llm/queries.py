@@ -41,6 +41,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(_docs(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import fingerprint_documents
 

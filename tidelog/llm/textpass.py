@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[p
     ``make`` is called once a task and returns a function of a batch's texts. A column of ``docs``
     that has the name of a new one gives way to it.
     """
-    names = [x.split()[0] for x in fields.split(", ")]
+    names = re.findall(r"(?:^|, )(\w+) (?![^<]*>)", fields)
     kept = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns) if c not in names])
     columns = kept.columns
     n = len(columns)
