@@ -73,3 +73,8 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], salt: Column,
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(part) == F.col("_p")]
     out = ranked.join(starts, on, "left")
     return out.withColumn(name, F.col("_rn") + F.col("_start")).drop(part, "_rn", "_start", "_p", *[f"_k{i}" for i in range(len(keys))])
+
+
+def run_name() -> str:
+    """A name that no other run has."""
+    return uuid.uuid4().hex

@@ -59,6 +59,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), 40)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_in_documents
+
+    return find_in_documents(_docs(spark, sf_dir))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .idfiles import documents_ids
 
