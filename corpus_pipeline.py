@@ -1,4 +1,66 @@
-STAGES = []
+"""The training-data pipeline: five stages from ``documents`` to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. ``run`` writes
+every stage's result as Parquet in the shared folder and hands the reread table on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidelog.llm import bagminhash, common, decontam, packing, pii, quality
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the ordinal classifier gives the highest grade to with at least even odds."""
+    common.release(spark)
+    return quality.select_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    common.release(spark)
+    return bagminhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    common.release(spark)
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked."""
+    common.release(spark)
+    return pii.masked_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in sequences of 2048."""
+    common.release(spark)
+    return packing.pack_documents(docs)
+
+
+#: A stage starts by deleting what the one before staged, whose result is written by then.
+STAGES = [
+    ("quality", select_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: The classifier and the signatures are not SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{common.shared_dir(spark)}/tidelog-pipeline/{common.run_name()}"
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    common.release(spark)
+    return docs
