@@ -78,3 +78,17 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], salt: Column,
 def run_name() -> str:
     """A name that no other run has."""
     return uuid.uuid4().hex
+
+
+def bounded_sample(df: DataFrame, by: Column, n: int, total: int, share: float = 1.0) -> DataFrame:
+    """At most ``n`` rows of ``df``, those of least hash ``by``, without sorting or sending all of them.
+
+    ``total`` counts a table of which about ``share`` are rows of ``df``. A hash threshold that
+    leaves about 2n rows comes first, so tasks pass on a few rows each whatever the input.
+    """
+    rows = df.withColumn("_h", by)
+    if total * share > 4 * n:
+        scale = 1 << 40
+        rows = rows.where(F.pmod("_h", F.lit(scale)) < int(scale * 2 * n / (total * share)))
+        return rows.orderBy(F.pmod("_h", F.lit(scale)), "_h").limit(n).drop("_h")
+    return rows.orderBy("_h").limit(n).drop("_h")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_sample, text_of
 from .textpass import add_columns
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,6 +45,8 @@ SAMPLE_WORDS = 200
 EPOCHS = 3
 SURE = 0.95
 AGREE = 1.5
+#: Of all texts, about so many are taken to have a digit or an @ when a sample is drawn.
+SHARE = 0.1
 PASSES = 12
 
 
@@ -250,7 +252,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Fit on at most ``sample`` texts that have a digit or an @, those of least hash."""
-    rows = docs.select(text_of(docs).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), text_of(docs).alias("text")).where(F.col("text").rlike("[0-9@]"))
 
     def make() -> Callable:
         def run(texts: list[str]) -> list[pa.Array]:
@@ -263,7 +265,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
 
         return run
 
-    kept = rows.withColumn("h", F.xxhash64("text")).orderBy("h").limit(sample)
+    kept = bounded_sample(rows, F.col("h"), sample, docs.count(), SHARE)
     got = add_columns(kept, make, "s struct<f: array<int>, near: array<int>, far: array<int>, y: array<int>>", keep=["h"]).orderBy("h").limit(sample).toArrow()
     pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))
     samples = [([s["f"][i : i + 7] for i in range(0, len(s["f"]), 7)], pairs(s["near"]), pairs(s["far"]), s["y"]) for s in got.column("s").to_pylist()]
