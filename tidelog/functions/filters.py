@@ -62,7 +62,7 @@ def parsed(column: Column) -> Column:
 
 def event_keys(event_type: Column) -> Column:
     """The three (kind, key) pairs under which a filter can want an event."""
-    parent = F.when(F.contains(event_type, F.lit(".")), F.regexp_replace(event_type, r"\.[^.]*$", ""))
+    parent = F.when(F.contains(event_type, F.lit(".")) & ~event_type.endswith("."), F.regexp_replace(event_type, r"\.[^.]*$", ""))
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     return F.array(pair("all", F.lit("*")), pair("exact", event_type), pair("pre", parent))
 

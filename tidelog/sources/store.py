@@ -1,6 +1,6 @@
 """A durable event store on Parquet: a live tier, warm monthly buckets, and one pointer file.
 
-Every commit writes new folders and then replaces ``_store.json`` by a rename, so readers see one
+Every commit writes new folders and then replaces ``store.json`` by a rename, so readers see one
 state and a writer that dies leaves only folders nobody points to. A sweep commits the warm rows
 before it commits the smaller live tier; a crash between the two leaves rows in both, which reads
 heal by preferring live rows. There is one writer at a time, held by an exclusively created lock file.
@@ -30,7 +30,7 @@ class EventStore:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._path("_store.json")):
+        if not self._fs.exists(self._path("store.json")):
             self._commit({"version": VERSION, "high_water": 0, "live": [], "buckets": {}})
         elif self.state()["version"] > VERSION:
             raise BusError("WB-005", "the store is of a later version")
@@ -39,10 +39,10 @@ class EventStore:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
 
     def state(self) -> dict:
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/_store.json", wholetext=True).collect()))
+        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/store.json", wholetext=True).collect()))
 
     def _commit(self, state: dict) -> None:
-        part = self._path(f"_store-{uuid.uuid4().hex}.tmp")
+        part = self._path(f"store-{uuid.uuid4().hex}.tmp")
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
@@ -51,12 +51,12 @@ class EventStore:
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.getFileSystem(conf).getUri(), conf)
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._path("_store.json")), options)
+        context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._path("store.json")), options)
 
     @contextlib.contextmanager
     def writing(self) -> Iterator[dict]:
         """The state under the writer's lock; it is committed if the body ends well."""
-        lock = self._path("_lock")
+        lock = self._path("lock")
         try:
             self._fs.create(lock, False).close()
         except Exception as e:
