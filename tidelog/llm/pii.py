@@ -118,10 +118,11 @@ def words_of(text: str, most: int | None = None) -> tuple[list[tuple[int, int]],
 def edges_of(text: str, spans: list[tuple[int, int]], keys: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Pairs of words side by side, and of each word with the last one of its key."""
     near = [(i - 1, i) for i in range(1, len(spans)) if spans[i][0] - spans[i - 1][1] <= 2]
+    side = set(near)
     seen: dict[str, int] = {}
     far = []
     for i, k in enumerate(keys):
-        if k in seen and seen[k] < i - 1:
+        if k in seen and (seen[k], i) not in side:
             far.append((seen[k], i))
         seen[k] = i
     return near, far
