@@ -21,14 +21,16 @@ def add_columns(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[p
     columns = kept.columns
     n = len(columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    # a kept text column of strings is read where it is, else the text goes along as one more
+    at_column = columns.index(text) if text in columns and dict(kept.dtypes)[text] == "string" else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], *f(part.column(n).to_pylist())], names=[*columns, *names])
+                texts = [t or "" for t in part.column(at_column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *f(texts)], names=[*columns, *names])
 
-    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    # the text goes along once more only where it is itself kept
-    return docs.select(*[F.col(f"`{c}`") for c in columns], whole.alias("_whole")).mapInArrow(run, ", ".join(x for x in (schema, fields) if x))
+    extra = [F.col(f"`{text}`").cast("string").alias("_whole")] if at_column == n else []
+    return docs.select(*[F.col(f"`{c}`") for c in columns], *extra).mapInArrow(run, ", ".join(x for x in (schema, fields) if x))
