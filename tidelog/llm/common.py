@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _staged: list[str] = []
+#: Rows of two or three longs that are broadcast at most (some 50 MB).
+BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,3 +94,8 @@ def bounded_sample(df: DataFrame, by: Column, n: int, total: int, share: float =
         rows = rows.where(F.pmod("_h", F.lit(scale)) < int(scale * 2 * n / (total * share)))
         return rows.orderBy(F.pmod("_h", F.lit(scale)), "_h").limit(n).drop("_h")
     return rows.orderBy("_h").limit(n).drop("_h")
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A staged table of a few longs a row, as a broadcast if it has at most ``BROADCAST_ROWS`` rows; else Spark decides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_side, stage, text_of
 from .shingles import WIDTH, Words, hashes, overlap, shingles
 from .textpass import add_columns
 
@@ -156,5 +156,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that match no item, with their columns as they were."""
-    bad = contaminated(docs, benchmark, similarity).select("doc_id").distinct()
+    bad = small_side(stage(contaminated(docs, benchmark, similarity).select("doc_id").distinct(), "contaminated"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

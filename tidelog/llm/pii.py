@@ -305,5 +305,5 @@ def find_in_documents(docs: DataFrame) -> DataFrame:
 
 def masked_documents(docs: DataFrame) -> DataFrame:
     """Documents with all found spans masked, n_chars of the new text, and their other columns."""
-    out = annotate(docs.withColumn("_source", text_of(docs)), train(docs), "text string, n_chars bigint", lambda t, base, added: ((m := mask(t, [*base, *added])), len(m)), [pa.string(), pa.int64()], keep=[c for c in docs.columns if c not in ("text", "n_chars")], text="_source")
+    out = annotate(docs.withColumn("__tidelog_source", text_of(docs)), train(docs), "text string, n_chars bigint", lambda t, base, added: ((m := mask(t, [*base, *added])), len(m)), [pa.string(), pa.int64()], keep=[c for c in docs.columns if c not in ("text", "n_chars")], text="__tidelog_source")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
