@@ -263,10 +263,11 @@ def test_lag_against_brute_force(spark):
     marks = [("a", 0), ("b", 30), ("c", 30), ("d", 59), ("e", 500)]
     curs = spark.createDataFrame(marks, "cursor_id string, last_event_id long")
     dead = spark.createDataFrame([("b",), ("b",)], "cursor_id string")
-    got = {x.cursor_id: tuple(x)[1:] for x in inspect.cursor_lag(curs, events, dead, 5000).collect()}
-    for c, m in marks:
-        unseen = [at for i, at, ex in rows if i > m and ex > 5000]
-        assert got[c] == (max(0, 59 - m), 5000 - min(unseen) if unseen else None, 2 if c == "b" else 0)
+    for step in (7, 1 << 16):
+        got = {x.cursor_id: tuple(x)[1:] for x in inspect.cursor_lag(curs, events, dead, 5000, step).collect()}
+        for c, m in marks:
+            unseen = [at for i, at, ex in rows if i > m and ex > 5000]
+            assert got[c] == (max(0, 59 - m), 5000 - min(unseen) if unseen else None, 2 if c == "b" else 0)
 
 
 def test_trace_tree(spark):
@@ -352,3 +353,66 @@ def test_every_query_has_an_oracle():
     from tidelog.plans.queries import ORACLES, QUERIES
 
     assert set(ORACLES) == set(QUERIES) <= set(entry.queries())
+
+
+def test_causality_context(monkeypatch):
+    from tidelog.functions import causality
+
+    with causality.causing(correlation_id="c", session_id="s"):
+        assert causality.stamped({"event_type": "x", "session_id": None}) == {"event_type": "x", "correlation_id": "c", "session_id": None}
+        causality.emitted(5)
+        with causality.causing(correlation_id="inner"):
+            assert causality.current() == {"correlation_id": "inner", "session_id": "s", "parent_event_id": 5}
+        assert causality.environment()["TIDELOG_PARENT_EVENT_ID"] == "5"
+    assert causality.current() == {}
+    monkeypatch.setenv("TIDELOG_CORRELATION_ID", "from outside")
+    assert causality.current() == {"correlation_id": "from outside"}
+    with pytest.raises(ValueError):
+        causality.causing(nothing=1).__enter__()
+
+
+def test_versions_and_large_scans(spark):
+    from tidelog.operators import evolve
+
+    old = spark.createDataFrame([(1, "bus.a", "d", "{}")], "event_id long, event_type string, domain string, payload string")
+    rows = evolve.united(old, log(spark, [2], session_id="s")).orderBy("event_id").collect()
+    assert [(r.event_id, r.subdomain, r.schema_version, r.session_id) for r in rows] == [(1, "", "1.0.0", None), (2, "", "1.0.0", "s")]
+    evolve.check_scan(12, 0)
+    with pytest.raises(BusError, match="WB-007"):
+        evolve.check_scan(13, 0)
+
+
+def test_files(spark, tmp_path):
+    import hashlib
+
+    from tidelog.sources import files
+
+    good, bad = hashlib.sha256(b"abc").hexdigest(), "0" * 64
+    for name, content in ((good, b"abc"), (bad, b"x"), ("other.txt", b"y")):
+        (tmp_path / "cas" / name[:2]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "cas" / name[:2] / name).write_bytes(content)
+    rows = files.stored_objects(spark, str(tmp_path / "cas"), contents=True)
+    assert {(r["sha"], r["size"]) for r in rows.collect()} == {(good, 3), (bad, 1)}
+    assert [r.sha for r in files.corrupt_objects(rows).collect()] == [bad]
+    (tmp_path / "p.json").write_text('{"a": 1}\n')
+    assert files.payload_files(spark, str(tmp_path / "p.json")).first().payload == '{"a": 1}'
+    subs = spark.createDataFrame([("s", "p", "provider", "bus.a, bus.b", 1, None), ("t", "q", "subscriber", "*", 1, None)], "subscription_id string, plugin string, role string, event_type_filter string, registered_at long, deregistered_at long")
+    assert [(r.plugin, r.provides) for r in files.provider_manifest(subs).collect()] == [("p", ["bus.a", "bus.b"])]
+
+
+def test_degrade_after_a_held_run(spark):
+    samples = [("a", t * 10_000, d) for t, d in enumerate([250, 250, 10, 200, 200, 200, 200, 200])] + [("b", t * 10_000, 250 if t % 2 else 0) for t in range(8)]
+    got = fanout.degrade_points(spark.createDataFrame(samples, "cursor_id string, at long, depth long")).collect()
+    assert [(r.cursor_id, r.degraded_at) for r in got] == [("a", 60_000)]
+
+
+def test_stream_windows_and_sessions(spark, tmp_path):
+    folder = str(tmp_path / "live")
+    log(spark, range(1, 11)).withColumn("emitted_at", F.lit(APRIL) + F.col("event_id") * 600_000).withColumn("correlation_id", F.lit("u")).write.parquet(folder)
+    counts, runs = [], []
+    query = delivery.counts_per_window(delivery.event_stream(spark, folder)).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "w")).foreachBatch(lambda d, _: counts.extend(r.n for r in d.collect())).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(counts) == [5, 5]
+    query = delivery.sessions(delivery.event_stream(spark, folder)).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "s")).foreachBatch(lambda d, _: runs.extend(r.n for r in d.collect())).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert runs in ([], [10])  # a session is complete once the watermark has passed it

@@ -48,3 +48,15 @@ def queue_counters(rows: DataFrame, size: int = QUEUE) -> DataFrame:
     """Per subscriber: rows offered, queued and dropped."""
     n = rows.groupBy("cursor_id").agg(F.count(F.lit(1)).alias("offered"))
     return n.withColumns({"queued": F.least("offered", F.lit(size)), "dropped": F.greatest(F.col("offered") - size, F.lit(0))})
+
+
+def degrade_points(depths: DataFrame, size: int = QUEUE, share: float = 0.75, hold_ms: int = 30_000) -> DataFrame:
+    """When each subscriber falls back to polling: its queue has been at least ``share`` full for ``hold_ms``.
+
+    ``depths`` has cursor_id, at (ms) and depth. A run of full samples starts after the last sample below the mark.
+    """
+    order = Window.partitionBy("cursor_id").orderBy("at")
+    full = F.col("depth") >= share * size
+    runs = depths.withColumn("_run", F.sum(F.when(full, 0).otherwise(1)).over(order)).where(full)
+    since = F.min("at").over(Window.partitionBy("cursor_id", "_run"))
+    return runs.withColumn("_held", F.col("at") - since).where(F.col("_held") >= hold_ms).groupBy("cursor_id").agg(F.min("at").alias("degraded_at"))

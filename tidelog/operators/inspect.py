@@ -40,23 +40,27 @@ def subscriber_lag(joined: DataFrame, events: DataFrame) -> DataFrame:
     return joined.crossJoin(F.broadcast(newest)).withColumn("lag", F.col("_newest") - F.col("last_event_id")).drop("_newest")
 
 
-def cursor_lag(cursors: DataFrame, events: DataFrame, letters: DataFrame, now: int) -> DataFrame:
+def cursor_lag(cursors: DataFrame, events: DataFrame, letters: DataFrame, now: int, step: int = 1 << 16) -> DataFrame:
     """Clamped lag, age of the oldest unseen visible event and dead letters of each cursor.
 
-    The age needs the earliest emission after each cursor: cursors are few ids on one axis, so the
-    log is aggregated once by the gap between neighbouring cursors it falls in, and the gaps above
-    a cursor are reduced from the top.
+    The age needs the earliest emission after each cursor. Ids are cut into blocks: all blocks are
+    reduced to a row each, and only blocks with a cursor in them are looked at row by row.
     """
-    marks = cursors.select("last_event_id").distinct()
-    stops = F.broadcast(marks.agg(F.sort_array(F.collect_set("last_event_id")).alias("stops")))
-    gap = F.size(F.filter("stops", lambda s: s < F.col("event_id")))
-    by_gap = events.crossJoin(stops).groupBy(gap.alias("gap")).agg(F.min(F.when(F.col("expires_at") > now, F.col("emitted_at"))).alias("first"), F.max("event_id").alias("top"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("gap"))  # a row a distinct cursor position
-    positions = marks.crossJoin(stops).select("last_event_id", F.array_position("stops", F.col("last_event_id")).cast("int").alias("gap"))
-    both = positions.join(by_gap, "gap", "full").select("last_event_id", "gap", "first", "top")
-    reduced = both.withColumns({"oldest": F.min("first").over(above), "newest": F.max("top").over(Window.partitionBy(F.lit(0)))}).where("last_event_id is not null").select("last_event_id", "oldest", "newest")
+    block = lambda c: F.floor(F.col(c) / step)
+    shown = F.when(F.col("expires_at") > now, F.col("emitted_at"))
+    rows = events.select("event_id", shown.alias("first"), block("event_id").alias("block"))
+    marks = cursors.select(F.col("last_event_id").alias("event_id")).distinct().withColumn("block", block("event_id"))
+    inside = rows.join(marks.select("block").distinct(), "block", "left_semi").withColumn("mark", F.lit(0))
+    both = inside.unionByName(marks.withColumns({"first": F.lit(None).cast("bigint"), "mark": F.lit(1)}))
+    later = Window.partitionBy("block").orderBy(F.desc("event_id"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.min("first").over(later)).where("mark = 1").select("event_id", "block", "near")
+    reduced = rows.groupBy("block").agg(F.min("first").alias("f"), F.max("event_id").alias("top"))
+    blocks = reduced.unionByName(marks.select("block", F.lit(None).cast("bigint").alias("f"), F.lit(None).cast("bigint").alias("top"))).groupBy("block").agg(F.min("f").alias("f"), F.max("top").alias("top"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 65,536 ids
+    far = blocks.select("block", F.min("f").over(above).alias("far"), F.max("top").over(Window.partitionBy(F.lit(0))).alias("newest"))
+    oldest = near.join(far, "block").select(F.col("event_id").alias("last_event_id"), F.least("near", "far").alias("oldest"), "newest")
     dead = letters.groupBy("cursor_id").agg(F.count(F.lit(1)).alias("_dead"))
-    rows = cursors.join(reduced, "last_event_id", "left").join(dead, "cursor_id", "left")
+    rows = cursors.join(oldest, "last_event_id", "left").join(dead, "cursor_id", "left")
     return rows.select("cursor_id", F.greatest(F.coalesce("newest", F.lit(0)) - F.col("last_event_id"), F.lit(0)).alias("cursor_lag"), (F.lit(now) - F.col("oldest")).alias("oldest_unacked_age_ms"), F.coalesce("_dead", F.lit(0)).alias("dlq_count"))
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.filters import matches, split_provided
 from ..functions.jsonschema import violations
 from ..functions.validate import validate
-from ..model import Config
-from ..operators import cas, control, dlq, emit, fanout, inspect, poll, sweep
+from ..model import EVENT_COLUMNS, Config
+from ..operators import cas, control, dlq, emit, evolve, fanout, inspect, poll, sweep
 from ..sources.bus import BUS_SQL, bus_events
+from ..sources.files import scratch
+from ..streaming import delivery
 
 NOW = 1_705_000_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -484,3 +486,78 @@ def latest_n(spark, sf_dir):
 def span_query(spark, sf_dir):
     rows = bus_events(spark, sf_dir).where(F.col("emitted_at").between(NOW - 172_800_000, NOW - 1))
     return rows.where(matches("*@svc-0")).select("event_id")
+
+
+@query("SELECT count(*) AS would_delete FROM bus WHERE dedup_expires_at < :now")
+def sweep_dry_run(spark, sf_dir):
+    return sweep.sweep(bus_events(spark, sf_dir), NOW)[1].agg(F.count(F.lit(1)).alias("would_delete"))
+
+
+@query("SELECT c.cursor_id, s.plugin, s.event_type_filter, c.last_event_id, (SELECT max(event_id) FROM bus) - c.last_event_id AS behind, s.deregistered_at IS NOT NULL AS gone FROM curs c JOIN subs s USING (subscription_id)", SUBS_SQL, CURS_SQL)
+def cursor_diagnostics(spark, sf_dir):
+    newest = bus_events(spark, sf_dir).agg(F.max("event_id").alias("newest"))
+    subs = subscriptions(spark).select("subscription_id", "plugin", "event_type_filter", F.col("deregistered_at").isNotNull().alias("gone"))
+    rows = cursors(spark).join(subs, "subscription_id").crossJoin(F.broadcast(newest))
+    return rows.select("cursor_id", "plugin", "event_type_filter", "last_event_id", (F.col("newest") - F.col("last_event_id")).alias("behind"), "gone")
+
+
+@query("SELECT cursor_id, CASE WHEN cursor_id = 'c4' THEN 249 ELSE last_event_id END AS last_event_id, acked_at FROM curs", CURS_SQL)
+def replay_cursor(spark, sf_dir):
+    return poll.replay(cursors(spark), bus_events(spark, sf_dir), "c4", 250).select("cursor_id", "last_event_id", "acked_at")
+
+
+@query("SELECT t.cursor_id, t.event_id, b.event_type, b.payload FROM tries t LEFT JOIN bus b USING (event_id)", TRY_SQL)
+def resolve_pointers(spark, sf_dir):
+    return fanout.resolve_pointers(attempts(spark), bus_events(spark, sf_dir)).select("cursor_id", "event_id", "event_type", "payload")
+
+
+@query("SELECT cursor_id, min(ms) AS degraded_at FROM (SELECT *, ms - min(ms) OVER (PARTITION BY cursor_id, run) AS held FROM (SELECT *, sum(CASE WHEN depth >= 192 THEN 0 ELSE 1 END) OVER (PARTITION BY cursor_id ORDER BY ms) AS run FROM (SELECT domain AS cursor_id, event_id * 1000 AS ms, (event_id * 7919) % 1000 AS depth FROM bus)) WHERE depth >= 192) WHERE held >= 30000 GROUP BY cursor_id")
+def queue_degrade(spark, sf_dir):
+    depths = bus_events(spark, sf_dir).select(F.col("domain").alias("cursor_id"), (F.col("event_id") * 1000).alias("at"), ((F.col("event_id") * 7919) % 1000).alias("depth"))
+    return fanout.degrade_points(depths)
+
+
+@query("SELECT event_id, event_type, subdomain, schema_version, correlation_id FROM (SELECT event_id, event_type, '' AS subdomain, '1.0.0' AS schema_version, CASE WHEN event_id > 500 THEN correlation_id END AS correlation_id FROM bus)")
+def schema_evolution(spark, sf_dir):
+    rows = bus_events(spark, sf_dir)
+    old = rows.where("event_id <= 500").select("event_id", "event_type", "domain", "payload", "idempotency_key", "emitted_at", "expires_at", "dedup_expires_at")
+    return evolve.united(old, rows.where("event_id > 500")).select("event_id", "event_type", "subdomain", "schema_version", "correlation_id")
+
+
+@query("SELECT domain, event_type, count(*) AS n FROM bus GROUP BY CUBE (domain, event_type)")
+def cube_by_domain_type(spark, sf_dir):
+    return bus_events(spark, sf_dir).cube("domain", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT sha256(payload) AS sha FROM bus WHERE event_id % 2 = 0 AND payload NOT IN (SELECT payload FROM bus WHERE event_id % 2 = 1 AND event_id < 100)")
+def cas_missing(spark, sf_dir):
+    rows = bus_events(spark, sf_dir)
+    store = cas.put(rows.where("event_id % 2 = 1 AND event_id < 100").select(F.col("payload").alias("content")), None, NOW)[0]
+    return cas.put(rows.where("event_id % 2 = 0").select(F.col("payload").alias("content")), store, NOW)[0].select("sha")
+
+
+def _streamed(spark, sf_dir, make, schema: str, files_per_trigger: int | None = 1):
+    """Runs a stream over the bus events, split in a few files, to its end, and reads what it appended."""
+    folder = scratch(spark, "stream")
+    bus_events(spark, sf_dir).select(*EVENT_COLUMNS).repartitionByRange(3, "event_id").write.parquet(f"{folder}/live")
+    sink = lambda rows, batch: rows.write.mode("append").parquet(f"{folder}/out")
+    delivery.start(make(delivery.event_stream(spark, f"{folder}/live", files_per_trigger)), f"{folder}/checkpoint", sink).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+@query("SELECT event_id, event_type FROM bus WHERE starts_with(event_type, 'bus.acct.') AND position('.' IN substr(event_type, 10)) = 0 AND domain = 'svc-1'")
+def stream_subscription(spark, sf_dir):
+    return _streamed(spark, sf_dir, lambda e: delivery.subscription(e, "bus.acct.*@svc-1").select("event_id", "event_type"), "event_id bigint, event_type string")
+
+
+@query("SELECT cursor_id, event_id FROM fanned", SUBS_SQL, CURS_SQL, FANNED_SQL)
+def stream_fanout(spark, sf_dir):
+    subs = cursors(spark).join(subscriptions(spark).select("subscription_id", "event_type_filter"), "subscription_id")
+    return _streamed(spark, sf_dir, lambda e: delivery.pushed(e, subs).select("cursor_id", "event_id"), "cursor_id string, event_id bigint")
+
+
+@query("SELECT event_id, idempotency_key FROM bus")
+def stream_dedup(spark, sf_dir):
+    # every event comes twice in one batch; the twin is dropped by its key
+    twice = lambda e: delivery.deduplicated(e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))))
+    return _streamed(spark, sf_dir, lambda e: twice(e).select("event_id", "idempotency_key"), "event_id bigint, idempotency_key string", None)
