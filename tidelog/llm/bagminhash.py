@@ -9,8 +9,9 @@ once they are later than all it keeps, which takes few points a shingle.
 
 Equal texts form one node first. Signatures are cut into bands, nodes that share a band are
 candidates, and candidates are verified on their whole texts. A bucket is not expanded: its most
-linked member is verified against the others, components are formed, and only members of different
-components meet again, until every pair that shares a band is in one component or verified.
+linked member is verified against the others and components are formed, twice. Then only members of
+different components meet, and only if their shareable parts are large enough for the similarity,
+so that in the end every pair that shares a band is in one component, verified, or ruled out.
 
 Edge cases: texts of less than five words are one shingle of all their words; null and empty texts
 are equal to each other and to nothing else; repeated rows are equal texts; null ids take part and
@@ -27,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import stage, text_of
+from .common import small_side, stage, text_of
 from .shingles import GOLD, Words, bag, mix, overlap
 from .textpass import add_columns
 
@@ -110,7 +110,7 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the similarity of their whole texts."""
+    """Pairs (a, b) with the similarity of their whole texts. ``pairs`` is staged."""
 
     def make() -> Callable:
         table, kept = Words(), OrderedDict()
@@ -131,12 +131,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return run
 
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    joined = both.select("a", "b", F.concat(F.char_length("ta").cast("string"), F.lit(" "), "ta", "tb").alias("text"))
+    few = small_side(pairs)
+    right = texts.join(few, texts["node"] == few["b"]).select("a", "b", F.col("text").alias("tb"))
+    pivots = small_side(pairs.select(F.col("a").alias("node")).distinct())
+    left = texts.join(pivots, "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    joined = right.join(left, "a").select("a", "b", F.concat(F.char_length("ta").cast("string"), F.lit(" "), "ta", "tb").alias("text"))
     return add_columns(joined, make, "similarity double", keep=["a", "b"])
 
 
+def shareable(texts: DataFrame) -> DataFrame:
+    """node, n and s: the size of each text's bag, and of its part that some other of these texts has too.
+
+    Two bags share at most the lesser s, which rules out most pairs of copies with edits of their own.
+    """
+
+    def make() -> Callable:
+        table = Words()
+
+        def run(batch: list[str]) -> list[pa.Array]:
+            bags = [bag(t, table) for t in batch]
+            return [pa.array([b[0].view(np.int64) for b in bags], pa.list_(pa.int64())), pa.array([b[1].astype(np.int32) for b in bags], pa.list_(pa.int32()))]
+
+        return run
+
+    bags = add_columns(texts, make, "h array<bigint>, c array<int>", keep=["node"])
+    sizes = bags.select("node", F.explode(F.arrays_zip("h", "c")).alias("x")).select("node", F.col("x.h").alias("h"), F.col("x.c").alias("c"))
+    alone = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.first("node").alias("node"), F.first("c").alias("c")).where("df = 1")
+    whole = sizes.groupBy("node").agg(F.sum("c").alias("n"))
+    own = alone.groupBy("node").agg(F.sum("c").alias("u"))
+    return whole.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the least node it is joined to, for every node of an edge.
 
@@ -155,31 +180,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that have several components."""
+    mixed = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
+    return members.join(mixed, "band")
+
+
 def near_components(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every document, and (node, comp) of the nodes with near copies."""
-    marked = stage(banded(docs, bands, rows), "bands")
-    spread = marked.select("node", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
-    members = stage(spread.join(shared, "band").distinct(), "members")
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    linked = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("links"))
-    members = stage(members.join(linked, "node"), "linked")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("node", F.xxhash64("text"))
+    nodes = stage(banded(docs, bands, rows).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "bands")
+    spread = nodes.select("node", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # most bands are shared by no two nodes, and of the others there are too many to broadcast
+    members = stage(spread.join(shared.hint("merge"), "band"), "members")
+    linked = members.groupBy("node").agg(F.sum("n").alias("links"))
+    members = stage(members.drop("n").join(linked, "node"), "linked")
 
     # one document a node, and the texts of those that may have a near copy
-    chosen = marked.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(linked.select("node"), "node")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("node", F.xxhash64("text"))
-    picked = source.alias("s").join(stage(chosen, "chosen").alias("c"), (F.col("s.node") == F.col("c.node")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
+    chosen = stage(nodes.select("node", "doc_id").join(linked.select("node"), "node", "left_semi"), "chosen")
+    picked = source.alias("s").join(small_side(chosen).alias("c"), (F.col("s.node") == F.col("c.node")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
     texts = stage(picked.dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    links, labels = None, None
-    tried = None
+    labels, tried = None, None
     for turn in range(STARS + 1):
-        now = members if labels is None else members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if labels is None:
-            now = now.withColumn("comp", F.col("node"))
-        else:  # only buckets of several components go on
-            mixed = now.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
-            now = stage(now.join(mixed, "band"), "open")
+            now = members.withColumn("comp", F.col("node"))
+        else:
+            now = stage(_mixed(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))), "open")
             if now.isEmpty():
                 break
         if turn < STARS:
@@ -187,18 +215,23 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             best = now.groupBy("band").agg(F.max(F.struct("links", "node", "comp")).alias("p"))
             if turn:
                 best = now.join(best, "band").where("comp != p.comp").groupBy("band").agg(F.max(F.struct("links", "node", "comp")).alias("p"))
-            pairs = now.join(best, "band").where("comp != p.comp").select(F.col("p.node").alias("x"), F.col("node").alias("y"))
+            pairs = now.join(best, "band").where("comp != p.comp").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         else:
-            other = now.select("band", F.col("node").alias("y"), F.col("comp").alias("other"))
-            pairs = now.join(other, "band").where("comp < other").select(F.col("node").alias("x"), "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            here = stage(now.select("node").distinct(), "open-nodes")
+            sizes = stage(shareable(texts.join(small_side(here), "node", "left_semi")), "sizes")
+            least = similarity / (1 + similarity)  # of both sizes together, that two similar bags share
+            fit = stage(_mixed(now.join(sizes, "node").where(F.col("s") >= similarity * F.col("n") - 1e-9)), "fit")
+            other = fit.select("band", F.col("node").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("s").alias("r"))
+            bound = F.least("s", "r") >= least * (F.col("n") + F.col("m")) - 1e-9
+            pairs = fit.join(other, "band").where(F.expr("comp < other") & bound).select(F.col("node").alias("a"), "b")
+        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"]).drop("lo", "hi")
         if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done = stage(verified(pairs, texts), "verified")
-        tried = done if tried is None else tried.unionByName(done)
-        links = tried.where(F.col("similarity") >= similarity)
-        labels = components(links)
-    return marked.select("doc_id", "node"), labels
+            done = tried.select("a", "b").union(tried.select("b", "a"))
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        found = stage(verified(stage(pairs, "pairs"), texts), "verified")
+        tried = found if tried is None else tried.unionByName(found)
+        labels = components(tried.where(F.col("similarity") >= similarity))
+    return source.select("doc_id", "node"), labels
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -210,11 +243,22 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the least id, with its columns as they were."""
+    """One document of each class, that of the least id, with its columns as they were.
+
+    The others' (node, id) pairs are taken out; only rows repeated in both are reduced by themselves.
+    """
+    mark, key = "__tidelog_node", "__tidelog_id"
     nodes, labels = near_components(docs)
-    joined = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    best = stage(joined.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node")), "kept")
-    marked = docs.withColumn("_n", F.xxhash64(text_of(docs)))
-    once = Window.partitionBy("_n", F.col("doc_id").cast("long")).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "text" and not dict(docs.dtypes)[c].startswith("map")])
-    kept = marked.join(best, (F.col("_n") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_rn", F.row_number().over(once)).where("_rn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).groupBy("comp", "node", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    joined = stage(joined, "joined")
+    best = joined.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k"))
+    judged = joined.join(best, "comp").withColumn("wins", F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("node") == F.col("k.node"))).select(F.col("node").alias(mark), F.col("doc_id").alias(key), "wins", "copies")
+    losers = stage(judged.where("not wins").select(mark, key), "losers")
+    repeated = stage(judged.where("wins and copies > 1").select(mark, key), "repeated")
+    rows = docs.withColumn("__n", F.xxhash64(text_of(docs))).withColumn("__i", F.col("doc_id").cast("long"))
+    same = (F.col("__n") == F.col(mark)) & F.col("__i").eqNullSafe(F.col(key))
+    kept = rows.join(small_side(losers), same, "left_anti")
+    if not repeated.isEmpty():
+        twice = small_side(repeated)
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["__n", "__i"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
