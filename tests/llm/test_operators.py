@@ -159,6 +159,8 @@ def test_signatures_are_unbiased():
         s = bagminhash.signatures([a, b], 320)
         miss.append(float((s[0] == s[1]).mean()) - overlap(a, b))
     assert abs(np.mean(miss)) < 0.02 and np.std(miss) < 0.05
+    many = [bag(" ".join(f"w{r.randint(0, 50)}" for _ in range(r.choice([6, 30, 3000]))), table) for _ in range(12)]
+    assert (np.vstack([bagminhash.signatures([b], 320) for b in many]) == bagminhash.signatures(many, 320)).all()
 
 
 def test_op3(spark, docs, empty):

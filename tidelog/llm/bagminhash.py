@@ -61,7 +61,8 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
         at = np.arange(step + 1, step + 1 + k, dtype=np.uint64) * GOLD
         r = mix(seed[:, None] + at)
         waits = -np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[:, None]
-        times = time[:, None] + (waits if k == 1 else np.cumsum(waits, axis=1))
+        # added one by one from the time so far, so that no sum depends on how many points a round has
+        times = np.cumsum(np.column_stack((time, waits)), axis=1)[:, 1:]
         r = mix(r + GOLD)
         place = start[:, None] + (((r >> np.uint64(32)) * width[:, None].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         position = (((r & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
