@@ -104,8 +104,9 @@ def place(cut: DataFrame, size: int = SIZE) -> DataFrame:
     total = sum(histogram.values())
     # a length gets parts by its share, so that no part holds much over 1/1024 of all pieces
     parts = {n: max(1, -(-c * PARTS // max(total, 1))) for n, c in histogram.items()}
-    table = F.create_map(*[F.lit(x) for p in parts.items() for x in p]) if parts else F.create_map(F.lit(0), F.lit(1))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(table, F.col("length").cast("int")).cast("long"))
+    hot = F.create_map(F.lit(0), F.lit(1), *[F.lit(x) for p in parts.items() if p[1] > 1 for x in p])
+    n_parts = F.coalesce(F.try_element_at(hot, F.col("length").cast("int")), F.lit(1)).cast("long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), n_parts)
     ranked = rank_within(cut, ["length"], ["doc_id", "piece", "ids_crc32"], salt)
     runs = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "length long, rank0 long, slots long, sequence0 long, each long, offset0 long")
     chunks = runs.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))))
