@@ -31,9 +31,9 @@ ERRORS = {
     "WB-007": "LARGE_SCAN_REJECTED",
     "WB-008": "PAYLOAD_TOO_LARGE",
     "WB-009": "SCHEMA_MISMATCH",
-    "WB-010": "GC_INCOMPLETE_BUCKETS",
-    "WB-011": "UI_TOKEN_OWNER",
-    "WB-012": "LIVE_BLOAT",
+    "WB-010": "CAS_GC_INCOMPLETE_BUCKET_SET",
+    "WB-011": "UI_TOKEN_PERMISSION_MISMATCH",
+    "WB-012": "LIVE_TIER_BLOAT_WARNING",
     "WB-013": "SPILL_BUCKET_UNAVAILABLE",
 }
 
@@ -44,6 +44,7 @@ class BusError(Exception):
     def __init__(self, code: str, message: str = "", **context):
         super().__init__(f"{code} {ERRORS[code]}: {message}")
         self.code, self.name, self.context = code, ERRORS[code], context
+        self.exit_code = int(code.removeprefix("WB-"))
 
 
 @dataclass(frozen=True)
