@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
