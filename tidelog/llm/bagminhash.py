@@ -181,6 +181,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The labels after some more edges, which are taken between the components there are."""
+    if labels is None:
+        return components(edges)
+    ends = edges
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}")), side, "left").withColumn(side, F.coalesce(f"c{side}", side)).drop(f"c{side}")
+    new = components(ends.where("a != b").select("a", "b").distinct())
+    up = labels.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return stage(up.unionByName(new.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "labels")
+
+
 def _mixed(members: DataFrame) -> DataFrame:
     """The members of buckets that have several components."""
     mixed = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band")
@@ -231,7 +243,7 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         found = stage(verified(stage(pairs, "pairs"), texts), "verified")
         tried = found if tried is None else tried.unionByName(found)
-        labels = components(tried.where(F.col("similarity") >= similarity))
+        labels = merged(labels, found.where(F.col("similarity") >= similarity).select("a", "b"))
     return source.select("doc_id", "node"), labels
 
 
