@@ -25,6 +25,7 @@ PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LET
 #: Separators of str.split that the pattern takes for symbols.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 END = "</w>"
+MARKS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,7 +56,16 @@ class WordIds:
         self.other: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        """Ids of new lower-cased Latin-1 chunks, many words to a call."""
+        """Ids of new lower-cased Latin-1 chunks; letters with one mark after them are put together from both."""
+        made = [c for c in chunks if c[-1] in MARKS and c[:-1].isalpha()]
+        rest = set(chunks).difference(made)
+        rest.update(x for c in made for x in (c[:-1], c[-1]) if x not in self.latin)
+        self._encode(sorted(rest))
+        for c in made:
+            self.latin[c] = self.latin[c[:-1]] + self.latin[c[-1]]
+
+    def _encode(self, chunks: list[str]) -> None:
+        """Ids from the library's model, many words to a call."""
         pieces = [PIECES.findall(c) for c in chunks]
         table = str.maketrans({chr(b): "".join(self.letters[chr(x)] for x in chr(b).encode()) for b in range(256)})
         for at in range(0, len(chunks), 1000):
