@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_sample, text_of
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -128,8 +128,8 @@ def score_text(model: dict, text: str | None) -> tuple[str, float, bool]:
 def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> dict:
     """Fit on at most ``sample`` rows for which ``learn`` holds, taken by the hash of their text."""
     text = text_of(docs)
-    rows = docs.where(learn & F.col("lang").isNotNull()).select(F.substring(text, 1, TRAIN_BYTES).alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("h"))
-    got = rows.orderBy("h", "lang").limit(sample).select("text", "lang").collect()
+    rows = docs.where(learn & F.col("lang").isNotNull()).select(F.substring(text, 1, TRAIN_BYTES).alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", text).alias("h"))
+    got = bounded_sample(rows, F.col("h"), sample, docs.count()).orderBy("h").select("text", "lang").collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got]) if got else {"names": []}
 
 
