@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import stage, text_of
 
 BLOCK = r"[^.]{1,160}+[.]?|[.]"
 #: Documents aimed at in a bucket of neighbours, and ranges the ids are cut into first (a square).
@@ -124,6 +124,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     hops = ends.select(F.col("_range").alias("_r"), F.col("tail").alias("_b"), F.coalesce(F.lead(F.struct("_range", "head")).over(round_trip), F.first(F.struct("_range", "head")).over(round_trip)).alias("hop"))
     inner = chained.where("_next is not null").select(F.col("_range").alias("_r"), F.col("_bucket").alias("_b"), F.col("_range").alias("_tr"), F.col("_next._bucket").alias("_tb"), F.col("_next.first_id").alias("first_id"))
     targets = inner.unionByName(hops.select("_r", "_b", F.col("hop._range").alias("_tr"), F.col("hop.head._bucket").alias("_tb"), F.col("hop.head.first_id").alias("first_id")))
+    targets = stage(targets, "firsts")  # a row for some 256 documents; its size, known then, decides how it is joined
     heads = base.alias("d").join(targets.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.first_id"))).groupBy("_r", "_b").agg(F.min("text").alias("_head"))
     heads = fingerprint(heads, "_head", "_head_fp").select(F.col("_r").alias("_range"), F.col("_b").alias("_bucket"), F.lit(True).alias("_last"), "_head", "_head_fp")
     joined = looked.join(heads, ["_range", "_bucket", "_last"], "left")
