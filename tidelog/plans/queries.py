@@ -267,12 +267,37 @@ def emit_duplicates(spark, sf_dir):
     return emit.split_known(_keyed(spark, sf_dir), log)[1]
 
 
+#: As above, over the whole log.
+KEYED_ALL_SQL = "keyed AS (SELECT event_id AS ordinal, 'k-' || CAST(event_id % 700 AS VARCHAR) AS idempotency_key FROM bus)"
+
+
+def _keyed_all(spark, sf_dir):
+    return bus_events(spark, sf_dir).select(F.col("event_id").alias("ordinal"), F.concat(F.lit("k-"), (F.col("event_id") % 700).cast("string")).alias("idempotency_key"))
+
+
+@query("SELECT min(ordinal) AS ordinal, idempotency_key FROM keyed GROUP BY idempotency_key", KEYED_ALL_SQL)
+def emit_dedup_all(spark, sf_dir):
+    return emit.first_of_key(_keyed_all(spark, sf_dir))[0]
+
+
+@query("SELECT idempotency_key, ordinal, original_event_id FROM keyed JOIN (SELECT 'k-' || CAST(event_id AS VARCHAR) AS idempotency_key, event_id AS original_event_id FROM bus WHERE event_id < 400) USING (idempotency_key)", KEYED_ALL_SQL)
+def emit_duplicates_all(spark, sf_dir):
+    log = bus_events(spark, sf_dir).where("event_id < 400").select("event_id", F.concat(F.lit("k-"), F.col("event_id").cast("string")).alias("idempotency_key"))
+    return emit.split_known(_keyed_all(spark, sf_dir), log)[1]
+
+
 @query("SELECT emitted_at, idempotency_key, 7000 + row_number() OVER (ORDER BY event_id) AS event_id FROM bus WHERE domain = 'svc-3'")
 def id_assign(spark, sf_dir):
     rows = bus_events(spark, sf_dir).where("domain = 'svc-3'").withColumn("ordinal", F.col("event_id")).drop("event_id")
     return emit.assign_ids(rows, 7000).select("emitted_at", "idempotency_key", "event_id")
 
 
+@query("SELECT emitted_at, idempotency_key, 7000 + row_number() OVER (ORDER BY event_id) AS event_id FROM bus")
+def id_assign_all(spark, sf_dir):
+    rows = bus_events(spark, sf_dir).withColumn("ordinal", F.col("event_id")).drop("event_id")
+    return emit.assign_ids(rows, 7000).select("emitted_at", "idempotency_key", "event_id")
+
+
 @query("SELECT event_type, version, payload_max_bytes, payload_oversize FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY version DESC) AS n FROM reg) WHERE n = 1", REG_SQL)
 def schema_latest(spark, sf_dir):
     return emit.latest_schemas(registry(spark))
@@ -390,6 +415,12 @@ def ack_many(spark, sf_dir):
     return poll.ack_forward(cursors(spark), acks, NOW).select("cursor_id", "last_event_id", "acked_at")
 
 
+@query("SELECT cursor_id, greatest(last_event_id, coalesce(top, 0)) AS last_event_id, CASE WHEN top IS NOT NULL THEN :now ELSE acked_at END AS acked_at FROM curs LEFT JOIN (SELECT 'c' || CAST(event_id % 7 AS VARCHAR) AS cursor_id, max(event_id) AS top FROM bus GROUP BY 1) USING (cursor_id)", CURS_SQL)
+def ack_many_all(spark, sf_dir):
+    acks = bus_events(spark, sf_dir).select("event_id", F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("cursor_id"))
+    return poll.ack_forward(cursors(spark), acks, NOW).select("cursor_id", "last_event_id", "acked_at")
+
+
 @query("SELECT cursor_id, arg_max(event_id, event_id) AS last_event_id, arg_max(event_type, event_id) AS event_type FROM (SELECT domain AS cursor_id, * FROM bus) GROUP BY cursor_id")
 def control_fold(spark, sf_dir):
     changes = bus_events(spark, sf_dir).select(F.col("domain").alias("cursor_id"), F.col("event_id").alias("last_event_id"), "event_type", F.col("event_id").alias("seq"))
@@ -536,6 +567,13 @@ def cas_missing(spark, sf_dir):
     return cas.put(rows.where("event_id % 2 = 0").select(F.col("payload").alias("content")), store, NOW)[0].select("sha")
 
 
+@query("SELECT DISTINCT sha256(payload) AS sha FROM bus WHERE payload NOT IN (SELECT payload FROM bus WHERE event_id % 2 = 1 AND event_id < 100)")
+def cas_missing_all(spark, sf_dir):
+    rows = bus_events(spark, sf_dir)
+    store = cas.put(rows.where("event_id % 2 = 1 AND event_id < 100").select(F.col("payload").alias("content")), None, NOW)[0]
+    return cas.put(rows.select(F.col("payload").alias("content")), store, NOW)[0].select("sha")
+
+
 def _streamed(spark, sf_dir, make, schema: str, files_per_trigger: int | None = 1):
     """Runs a stream over the bus events, split in a few files, to its end, and reads what it appended."""
     folder = scratch(spark, "stream")
