@@ -223,6 +223,18 @@ def test_op6(spark, docs, empty):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(empty, bench).count() == 0
 
 
+def test_documents_shorter_than_an_item_are_compared_whole(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "one two three")], "item_id long, text string")
+    cut = {k: " ".join(words[a:z]) for k, (a, z) in {1: (0, 18), 2: (2, 20), 3: (1, 19), 4: (0, 16), 5: (3, 20), 6: (0, 4)}.items()}
+    d = spark.createDataFrame([*cut.items(), (7, "one two"), (8, cut[1].upper() + "!")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(d, bench).collect()}
+    assert set(got) == {1, 2, 3, 5, 8}  # 14, 14, 14, 13 and 14 of the item's 16 shingles; 4 has 12
+    assert all(r.item_id == 1 and r.similarity == (13 if k == 5 else 14) / 16 for k, r in got.items())
+    assert [(r.first_word, r.n_words, r.start, r.end) for r in (got[1], got[5])] == [(0, 18, 0, len(cut[1])), (0, 17, 0, len(cut[5]))]
+    assert {r.doc_id for r in decontam.without_contaminated(d, bench).collect()} == {4, 6, 7}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     items = decontam.Items([(1, "alpha beta gamma delta epsilon zeta eta")], Words())
     r = random.Random(1)

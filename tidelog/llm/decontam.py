@@ -6,7 +6,8 @@ blocks of eight bits find candidates: an item is filed in each block under its v
 values within two bits, so that an item within 23 bits of a window agrees with it in some block.
 Candidates within ``RADIUS`` are verified by the weighted Jaccard similarity of their shingles.
 Only windows that share a shingle with a benchmark item are fingerprinted: any other has
-similarity 0.
+similarity 0. For items longer than the document, the whole document is the one window; items too
+long for it to reach the similarity are left out.
 
 The benchmark is read in blocks of ``BLOCK_ITEMS`` items (hashed ids); each block is a broadcast of
 a few MB at most for items of ordinary length, and all documents meet every block.
@@ -81,25 +82,35 @@ class Items:
                 for v in (NEARBY ^ ((p >> (BITS * b)) & 255)).tolist():
                     self.near[b][v].append(i)
 
-    def candidates(self, print_: int, size: int) -> list[tuple[int, int]]:
-        """(item, distance) of the items of ``size`` words within the radius."""
+    def candidates(self, print_: int, size: int, longest: int | None = None) -> list[tuple[int, int]]:
+        """(item, distance) of the items of ``size`` (to ``longest``) words within the radius."""
         found = {i for b in range(BLOCKS) for i in self.near[b][(print_ >> (BITS * b)) & 255]}
-        near = ((i, (self.prints[i] ^ print_).bit_count()) for i in found if self.sizes[i] == size)
+        near = ((i, (self.prints[i] ^ print_).bit_count()) for i in found if size <= self.sizes[i] <= (longest or size))
         return [(i, d) for i, d in near if d <= RADIUS]
 
     def matches(self, words: np.ndarray, similarity: float) -> list[tuple[int, float, int, int, int]]:
         """(item, similarity, distance, first word, words) of the best window of each matching item."""
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int, tuple[float, int, int, int]] = {}
         for width, of in self.lengths.items():
             if len(words) < width:
                 continue
             s = shingles(words, width)
             hits = [int(k) for k in np.flatnonzero(self.filters[width][(s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]) if int(s[k]) in of]
             spots: dict[int, set[int]] = {}
+            longest = 0  # words of the longest item that is longer than the document and can be like it
             for k in hits:
                 for n in of[int(s[k])]:
-                    if n <= len(words):
+                    if n > len(words):
+                        if len(s) / (n - width + 1) >= similarity:
+                            longest = max(longest, n)
+                    else:
                         spots.setdefault(n, set()).update(range(max(0, k + width - n), min(k, len(words) - n) + 1))
+            if longest:
+                whole = np.unique(s, return_counts=True)
+                for i, d in self.candidates(int(simhash(signs(s).sum(0, keepdims=True))[0]), len(words) + 1, longest):
+                    got = overlap(whole, self.bags[i])
+                    if got >= similarity:
+                        best[i] = (got, d, 0, len(words))
             for n, at in spots.items():
                 first = np.array(sorted(at))
                 run = n - width + 1
@@ -112,8 +123,8 @@ class Items:
                         for i, d in self.candidates(f, n):
                             got = overlap(np.unique(s[p : p + run], return_counts=True), self.bags[i])
                             if got >= similarity and (i not in best or got > best[i][0]):
-                                best[i] = (got, d, p)
-        return [(self.ids[i], v, d, p, self.sizes[i]) for i, (v, d, p) in sorted(best.items())]
+                                best[i] = (got, d, p, n)
+        return [(self.ids[i], v, d, p, n) for i, (v, d, p, n) in sorted(best.items())]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
