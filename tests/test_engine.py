@@ -275,6 +275,15 @@ def test_trace_tree(spark):
     assert inspect.trace_tree(rows, "c").agg(F.max("depth")).first()[0] == 158
 
 
+def test_trace_tree_of_any_depth(spark):
+    chain = log(spark, range(1, 2501), correlation_id="c").withColumn("parent_event_id", F.when(F.col("event_id") > 1, F.col("event_id") - 1))
+    assert {(r.event_id, r.depth) for r in inspect.trace_tree(chain, "c").collect()} == {(i, i - 1) for i in range(1, 2501)}
+    parents = {1: None, 2: 1, 3: 1, 4: 3, 5: 99, 6: 5, 7: 8, 8: 7, 9: 9, 10: 7}  # 99 is outside; 7 and 8, and 9, are circles
+    rows = spark.createDataFrame([("c", i, p) for i, p in parents.items()], "correlation_id string, event_id long, parent_event_id long")
+    assert {tuple(r) for r in inspect.trace_tree(rows, "c").collect()} == {(1, None, 0), (2, 1, 1), (3, 1, 1), (4, 3, 2), (5, 99, 0), (6, 5, 1)}
+    assert inspect.trace_tree(rows, "none").count() == 0
+
+
 def test_choose_bucket():
     row = lambda b, sealed=None, size=0: {"bucket": b, "sealed_at": sealed, "bytes": size}
     assert sweep.choose_bucket("2026-04", []) == ("2026-04", None)

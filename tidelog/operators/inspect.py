@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import scratch
+
 API_COLUMNS = ["event_id", "event_type", "domain", "subdomain", "payload", "emitted_at", "expires_at", "parent_event_id", "session_id", "correlation_id", "producer_id", "payload_cas_sha"]
 
 
@@ -82,14 +84,30 @@ def trace(events: DataFrame, correlation_id: str) -> DataFrame:
     return events.where(F.col("correlation_id") == correlation_id).orderBy("event_id")
 
 
-def trace_tree(events: DataFrame, correlation_id: str, levels: int = 1000) -> DataFrame:
-    """event_id, parent and depth of a correlation's tree; the roots' parents lie outside it."""
-    rows = events.where(F.col("correlation_id") == correlation_id).select("event_id", "parent_event_id")
-    rows.createOrReplaceTempView("_tidelog_trace")
-    return events.sparkSession.sql(f"""
-        WITH RECURSIVE tree MAX RECURSION LEVEL {levels} AS (
-            SELECT event_id, parent_event_id, 0 AS depth FROM _tidelog_trace t
-            WHERE parent_event_id IS NULL OR parent_event_id NOT IN (SELECT event_id FROM _tidelog_trace)
-            UNION ALL
-            SELECT c.event_id, c.parent_event_id, p.depth + 1 FROM _tidelog_trace c JOIN tree p ON c.parent_event_id = p.event_id
-        ) SELECT event_id, parent_event_id, depth FROM tree""")
+def trace_tree(events: DataFrame, correlation_id: str) -> DataFrame:
+    """event_id, parent and depth of a correlation's tree; the roots' parents lie outside it.
+
+    Every event points to an ancestor at a known distance; each round lets open ones jump to their
+    ancestor's ancestor and is written to shared storage, so about log2(depth) joins serve any
+    depth. Events that lead to no root (a circle of parents) are left out. Event ids are unique.
+    """
+    spark = events.sparkSession
+    folder = scratch(spark, "trace")
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    rows = staged(events.where(F.col("correlation_id") == correlation_id).select("event_id", "parent_event_id"), "rows")
+    inside = rows.select(F.col("event_id").alias("up"))
+    child = rows.where("parent_event_id is not null").join(inside, F.col("parent_event_id") == F.col("up"), "left")
+    root = rows.where("parent_event_id is null").withColumn("up", F.lit(None).cast("bigint"))
+    state = staged(root.unionByName(child).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), "0")
+    for k in range(1, rows.count().bit_length() + 1):  # a way to a root has fewer steps than there are rows
+        open_ = state.where("up is not null")
+        if open_.isEmpty():
+            break
+        ancestors = state.select(F.col("event_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        jumped = open_.join(ancestors, "up").select("event_id", "parent_event_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        state = staged(state.where("up is null").unionByName(jumped), str(k))
+    return state.where("up is null").select("event_id", "parent_event_id", "depth")
