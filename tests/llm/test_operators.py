@@ -392,3 +392,15 @@ def test_samples_are_bounded_and_repeatable(spark):
     d = spark.range(20_000)
     got = {r.id for r in bounded_sample(d, F.xxhash64("id"), 500, 20_000).collect()}
     assert len(got) == 500 and got == {r.id for r in bounded_sample(d.repartition(7), F.xxhash64("id"), 500, 20_000).collect()}
+
+
+def test_samples_are_full_however_few_rows_are_eligible(spark):
+    d = spark.range(200_000).where("id % 1000 = 7")
+    for n in (1, 150, 1000):
+        got = bounded_sample(d, F.xxhash64("id"), n, 200_000).collect()
+        assert len({r.id for r in got}) == len(got) == min(n, 200)
+    same = spark.range(5000).select(F.when(F.col("id") < 4900, F.lit(1)).otherwise(F.col("id")).alias("id"))  # one row many times
+    assert bounded_sample(same, F.xxhash64("id"), 100, 5000).count() == 100
+    few = spark.range(4000).select("id", F.concat_ws(" ", F.lit("the thing and of"), F.col("id")).alias("text"), F.when(F.col("id") % 100 == 3, F.lit("en")).alias("lang"), F.col("id").alias("doc_id"))
+    assert langid.train(few, F.lit(True), sample=20)["names"] == ["en"]
+    assert pii.train(few.withColumn("text", F.when(F.col("id") % 1000 == 1, F.lit("call +1 988 555 2485")).otherwise("no such")), sample=20) is not None

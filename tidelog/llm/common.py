@@ -82,17 +82,24 @@ def run_name() -> str:
     return uuid.uuid4().hex
 
 
-def bounded_sample(df: DataFrame, by: Column, n: int, total: int, share: float = 1.0) -> DataFrame:
+def bounded_sample(df: DataFrame, by: Column, n: int, total: int) -> DataFrame:
     """At most ``n`` rows of ``df``, those of least hash ``by``, without sorting or sending all of them.
 
-    ``total`` counts a table of which about ``share`` are rows of ``df``. A hash threshold that
-    leaves about 2n rows comes first, so tasks pass on a few rows each whatever the input.
+    ``total`` bounds the rows of ``df``. Over 4n, one pass counts the rows themselves by the bits of
+    their hash, and a threshold that leaves at least n of them (about 2n at most) comes first, so
+    tasks pass on a few rows each whatever the input and whatever share of it ``df`` is.
     """
     rows = df.withColumn("_h", by)
-    if total * share > 4 * n:
-        scale = 1 << 40
-        rows = rows.where(F.pmod("_h", F.lit(scale)) < int(scale * 2 * n / (total * share)))
-        return rows.orderBy(F.pmod("_h", F.lit(scale)), "_h").limit(n).drop("_h")
+    if total > 4 * n:
+        short = F.pmod("_h", F.lit(1 << 40))
+        counts = {r["b"]: r["n"] for r in rows.groupBy(F.length(F.bin(short)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 40 rows
+        seen = 0
+        for bits in sorted(counts):
+            seen += counts[bits]
+            if seen >= n:
+                rows = rows.where(short < (1 << bits))
+                break
+        return rows.orderBy(short, "_h").limit(n).drop("_h")
     return rows.orderBy("_h").limit(n).drop("_h")
 
 

@@ -45,8 +45,6 @@ SAMPLE_WORDS = 200
 EPOCHS = 3
 SURE = 0.95
 AGREE = 1.5
-#: Of all texts, about so many are taken to have a digit or an @ when a sample is drawn.
-SHARE = 0.1
 PASSES = 12
 
 
@@ -266,7 +264,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
 
         return run
 
-    kept = bounded_sample(rows, F.col("h"), sample, docs.count(), SHARE)
+    kept = bounded_sample(rows, F.col("h"), sample, docs.count())
     got = add_columns(kept, make, "s struct<f: array<int>, near: array<int>, far: array<int>, y: array<int>>", keep=["h"]).orderBy("h").limit(sample).toArrow()
     pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))
     samples = [([s["f"][i : i + 7] for i in range(0, len(s["f"]), 7)], pairs(s["near"]), pairs(s["far"]), s["y"]) for s in got.column("s").to_pylist()]
