@@ -235,6 +235,15 @@ def test_documents_shorter_than_an_item_are_compared_whole(spark):
     assert {r.doc_id for r in decontam.without_contaminated(d, bench).collect()} == {4, 6, 7}
 
 
+def test_clean_documents_with_null_or_repeated_ids_stay(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(None, item), (None, "clean a"), (None, None), (1, item), (1, "clean b"), (1, None), (2, item), (2, item), (3, "clean c"), (3, "clean c")], "doc_id long, text string")
+    got = decontam.without_contaminated(d, bench)
+    assert got.columns == d.columns and decontam.contaminated(d, bench).columns[:2] == ["doc_id", "item_id"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(None, "clean a"), (None, None), (1, "clean b"), (1, None), (3, "clean c"), (3, "clean c")]))
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     items = decontam.Items([(1, "alpha beta gamma delta epsilon zeta eta")], Words())
     r = random.Random(1)

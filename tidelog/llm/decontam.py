@@ -129,6 +129,11 @@ class Items:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id and the best window of every document and item that match."""
+    return _matching(docs, benchmark, similarity).drop("_node")
+
+
+def _matching(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``contaminated`` with the hash of the document's text, ``_node``."""
     n_items = benchmark.count()
     blocks = max(1, -(-n_items // BLOCK_ITEMS))
     out = None
@@ -159,13 +164,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             return run
 
         fields = ", ".join(f"{n}: {t}" for n, t in (x.split() for x in MATCH.split(", ")))
-        part = add_columns(docs.select(F.col("doc_id"), text_of(docs).alias("text")), make, f"hits array<struct<{fields}>>", keep=["doc_id"])
-        part = part.select("doc_id", F.explode("hits").alias("m")).select("doc_id", "m.*")
+        texts = docs.select(F.col("doc_id"), F.xxhash64(text_of(docs)).alias("_node"), text_of(docs).alias("text"))
+        part = add_columns(texts, make, f"hits array<struct<{fields}>>", keep=["doc_id", "_node"])
+        part = part.select("doc_id", "_node", F.explode("hits").alias("m")).select("doc_id", "_node", "m.*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that match no item, with their columns as they were."""
-    bad = small_side(stage(contaminated(docs, benchmark, similarity).select("doc_id").distinct(), "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that match no item, with their columns as they were.
+
+    Rows are told apart by text and id, so a clean row that repeats an id, or has none, stays.
+    """
+    mark, key = "__tidelog_node", "__tidelog_id"
+    found = _matching(docs, benchmark, similarity).select(F.col("_node").alias(mark), F.col("doc_id").alias(key))
+    bad = small_side(stage(found.distinct(), "contaminated"))
+    same = (F.xxhash64(text_of(docs)) == bad[mark]) & docs["doc_id"].eqNullSafe(bad[key])
+    return docs.join(bad, same, "left_anti")
