@@ -146,6 +146,12 @@ def brute_classes(rows):
     return collections.Counter((r.doc_id, least[find(r.text or "")]) for r in rows)
 
 
+def test_capitals_of_long_texts_are_counted_over_all_words():
+    for line in ("LOUD low", "low LOUD"):  # lines whose period divides a stride of two words
+        chunks = (line + " ") * 2000
+        assert quality._bucket("s capitals 4") in quality.shares(chunks, chunks.split(), 2)
+
+
 def test_signatures_are_unbiased():
     r = random.Random(2)
     table, miss = Words(), []

@@ -69,8 +69,7 @@ class Chunks(dict):
 def shares(text: str, chunks: list[str], distinct: int) -> list[int]:
     """Buckets of the coarse shares, in eighths; the last two of texts long enough to have them."""
     n = max(len(chunks), 1)
-    some = chunks[:: max(1, len(chunks) // 2000)]  # of very long texts every k-th word, from end to end
-    made = {"capitals": sum(map(str.isupper, some)) / max(len(some), 1), "symbols": min(sum(map(text.count, "*#$%&|!")) / n, 1)}
+    made = {"capitals": sum(map(str.isupper, chunks)) / n, "symbols": min(sum(map(text.count, "*#$%&|!")) / n, 1)}
     if n >= 50:
         made |= {"distinct": distinct / n, "lines": min(text.count("\n") * 20 / len(text), 1)}
     return [_bucket(f"s {k} {int(v * 8 + 1e-9)}") for k, v in made.items()]
