@@ -44,13 +44,29 @@ def _say(test: Column, text: str) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
 
 
+def _equals(v: Column, value) -> Column:
+    """Whether the variant equals a JSON value: numbers by value, and objects whatever the order of their keys."""
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return is_type(v, "number") & (F.try_variant_get(v, "$", "double") == float(value))
+    return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(value, ensure_ascii=False))))
+
+
+def _property(v: Column, name: str) -> Column:
+    """A property by its name, which may hold any characters."""
+    if "'" in name or '"' in name or "\\" in name:
+        return F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
+    return F.try_variant_get(v, f"$['{name}']", "variant")
+
+
 def violations(schema: dict, v: Column, path: str = "") -> Column:
     """array<string> of what the variant ``v`` breaks."""
     at = path or "<root>"
     found = []
     if isinstance(schema.get("enum"), list):
-        allowed = [json.dumps(x, separators=(",", ":")) for x in schema["enum"]]
-        found.append(_say(~F.to_json(v).isin(*allowed) if allowed else F.lit(True), f"{at}: not in enum"))
+        equal = F.lit(False)
+        for x in schema["enum"]:
+            equal = equal | F.coalesce(_equals(v, x), F.lit(False))
+        found.append(_say(~equal, f"{at}: not in enum"))
     ok = F.lit(True)
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
@@ -74,7 +90,7 @@ def violations(schema: dict, v: Column, path: str = "") -> Column:
     for name in schema.get("required", []):
         deeper.append(_say(is_object & ~F.array_contains(keys, name), f"{at}: missing {name}"))
     for name, sub in schema.get("properties", {}).items():
-        child = F.try_variant_get(v, f"$['{name}']", "variant")
+        child = _property(v, name)
         inner = violations(sub, child, f"{path}.{name}" if path else name)
         deeper.append(F.when(is_object & F.array_contains(keys, name), inner).otherwise(F.array().cast("array<string>")))
     if schema.get("additionalProperties") is False:

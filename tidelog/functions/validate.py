@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Config
 
-SEMVER = r"^\d+\.\d+\.\d+$"
+# Fixed patterns: versions, and those whose first part is 0 or 1. They end where the text ends, before no newline.
+SEMVER = r"^\d+\.\d+\.\d+\z"
+SUPPORTED = r"^0*[01]\."
 
 
 def type_pattern(prefix: str) -> str:
-    return rf"^{prefix}\.[a-z0-9_]+(\.[a-z0-9_]+)*$"
+    return rf"^{prefix}\.[a-z0-9_]+(\.[a-z0-9_]+)*\z"
+
+
+def last_key_wins(spark: SparkSession) -> None:
+    """JSON objects may repeat a key in this session; the last one counts."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def is_object(payload: Column) -> Column:
@@ -21,6 +28,7 @@ def is_object(payload: Column) -> Column:
 
 def rules(config: Config) -> list[tuple[str, str, Column]]:
     """(code, violation, test), in the order in which the first counts."""
+    # The codes, the texts and their order.
     c = F.col
     blank = lambda x: F.coalesce(c(x), F.lit("")) == ""
     return [
@@ -32,12 +40,13 @@ def rules(config: Config) -> list[tuple[str, str, Column]]:
         ("WB-001", "payload must be a valid JSON object", ~is_object(c("payload"))),
         ("WB-001", "payload exceeds max_payload_bytes", F.octet_length("payload") > config.max_payload_bytes),
         ("WB-001", "invalid schema_version format", ~c("schema_version").rlike(SEMVER)),
-        ("WB-005", "schema_version is not supported", F.try_to_number(F.split_part(c("schema_version"), F.lit("."), F.lit(1)), F.lit("999999999")) > 1),
+        ("WB-005", "schema_version is not supported", ~c("schema_version").rlike(SUPPORTED)),
     ]
 
 
 def validate(events: DataFrame, config: Config) -> DataFrame:
     """Adds error_code and violation (null for valid rows) and all_violations."""
+    last_key_wins(events.sparkSession)
     code = violation = None
     every = []
     for k, v, test in rules(config):

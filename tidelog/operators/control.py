@@ -59,6 +59,21 @@ def resume_only(subscriptions: DataFrame, cursors: DataFrame, plugin: str, filte
     return mine[0] if mine else None
 
 
+def register_or_resume(subscriptions: DataFrame, cursors: DataFrame, plugin: str, filter_text: str, now: int, high_water: int, cursor_init: str = "latest", strict: bool = False) -> tuple[dict, tuple[DataFrame, DataFrame] | None]:
+    """(subscription_id, cursor_id and last_event_id to go on from, the new rows if it had to register).
+
+    An active cursor of the plugin and filter is taken up, the newest of several; with ``strict``
+    several are an error.
+    """
+    found = resume_only(subscriptions, cursors, plugin, filter_text) if strict else next(iter(resume(subscriptions, cursors, plugin, filter_text).collect()), None)
+    keys = ("subscription_id", "cursor_id", "last_event_id")
+    if found is not None:
+        return {k: found[k] for k in keys}, None
+    made = register(subscriptions.sparkSession, plugin, filter_text, now, high_water, cursor_init=cursor_init)
+    row = made[1].first()
+    return {k: row[k] for k in keys}, made
+
+
 def list_subscriptions(subscriptions: DataFrame, role: str | None = None, include_deregistered: bool = False) -> DataFrame:
     rows = subscriptions if include_deregistered else active(subscriptions)
     rows = rows if role is None else rows.where(F.col("role") == role)

@@ -45,14 +45,24 @@ def pending_replays(letters: DataFrame) -> DataFrame:
 
 
 def drain_replays(letters: DataFrame, handler: Callable[[dict], None]) -> DataFrame:
-    """Tries pending letters one by one, oldest first: success removes, failure counts, unmarks and stops."""
+    """Tries pending letters one by one, oldest first: success removes, failure counts, unmarks and stops.
+
+    The outcomes are applied at once: letters up to the last success are gone, so the plan does not
+    grow with their number.
+    """
+    done = failed = error = None
     for row in pending_replays(letters).toLocalIterator():
-        mine = F.col("dl_id") == row["dl_id"]
         try:
             handler(row.asDict())
         except Exception as e:  # the handler is the user's
-            return letters.withColumns({"attempts": F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts")), "last_error": F.when(mine, str(e)).otherwise(F.col("last_error")), "replay_requested_at": F.when(mine, F.lit(None)).otherwise(F.col("replay_requested_at")).cast("bigint")})
-        letters = letters.where(~mine)
+            failed, error = row["dl_id"], str(e)
+            break
+        done = row["dl_id"]
+    if done is not None:
+        letters = letters.where(F.col("replay_requested_at").isNull() | (F.col("dl_id") > done))
+    if failed is not None:
+        mine = F.col("dl_id") == failed
+        letters = letters.withColumns({"attempts": F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts")), "last_error": F.when(mine, error).otherwise(F.col("last_error")), "replay_requested_at": F.when(mine, F.lit(None)).otherwise(F.col("replay_requested_at")).cast("bigint")})
     return letters
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.jsonschema import violations
-from ..functions.validate import validate
+from ..functions.validate import last_key_wins, validate
 from ..model import EVENT_COLUMNS, HOUR_MS, Config
 
 
@@ -54,8 +54,12 @@ def assign_ids(batch: DataFrame, high_water: int, order: str = "ordinal", parts:
 
 
 def chain_parents(rows: DataFrame, context: str = "correlation_id", order: str = "event_id", first_parent: Column | None = None) -> DataFrame:
-    """parent_event_id of rows that name none: the event emitted before in their context."""
-    before = F.lag("event_id").over(Window.partitionBy(context).orderBy(order))
+    """parent_event_id of rows that name none: the event emitted before in their context.
+
+    Rows without a context have no such event; they are spread over tasks as they are.
+    """
+    alone = F.when(F.col(context).isNull(), F.xxhash64(order))
+    before = F.lag("event_id").over(Window.partitionBy(context, alone).orderBy(order))
     before = F.when(F.col(context).isNotNull(), F.coalesce(before, first_parent) if first_parent is not None else before)
     return rows.withColumn("parent_event_id", F.coalesce("parent_event_id", before) if "parent_event_id" in rows.columns else before)
 
@@ -79,6 +83,7 @@ def apply_registry(batch: DataFrame, registry: DataFrame) -> DataFrame:
     against the pointer. Each registered schema is compiled to one expression, so the registry,
     which people write by hand, is read on the driver.
     """
+    last_key_wins(batch.sparkSession)
     latest = latest_schemas(registry)
     rows = batch.drop("registry_schema_version", "payload_cas_sha").join(latest.select("event_type", F.col("version").alias("registry_schema_version"), F.col("payload_max_bytes").alias("_cap"), F.col("payload_oversize").alias("_mode")), "event_type", "left")
     size = F.octet_length("payload")
@@ -92,17 +97,23 @@ def apply_registry(batch: DataFrame, registry: DataFrame) -> DataFrame:
         "_warn": F.when(to_cas, F.concat(F.lit("payload offloaded to CAS: sha="), sha, F.lit(", original_size="), size.cast("string"))).when(over & ~F.col("_mode").isin("strict", "cas-auto"), F.concat(F.lit("WB-008 (warn): "), "event_type", F.lit(" payload size "), size.cast("string"), F.lit(" exceeds cap "), F.col("_cap").cast("string"))),
         "payload": F.when(to_cas, F.concat(F.lit('{"$cas":"'), sha, F.lit('"}'))).otherwise(F.col("payload")),
     })
-    broken = F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
     parsed = F.try_parse_json("payload")
+    by_schema: dict[str, list[str]] = {}  # types that have the same schema are tested by one expression
     for r in latest.select("event_type", "json_schema").collect():
+        by_schema.setdefault(r["json_schema"], []).append(r["event_type"])
+    broken = None
+    for text, types in by_schema.items():
         try:
-            schema = json.loads(r["json_schema"])
+            schema = json.loads(text)
         except (TypeError, ValueError):
-            found = F.array(F.lit(f"registry schema for {r['event_type']} is unparseable"))
+            found = F.array(F.concat(F.lit("registry schema for "), "event_type", F.lit(" is unparseable")))
         else:
             said = F.when(parsed.isNull(), F.array(F.lit("payload is not valid JSON"))).otherwise(violations(schema, parsed))
-            found = F.when(F.size(said) > 0, F.array(F.concat(F.lit(f"WB-009 (warn): {r['event_type']} payload schema-mismatch: "), F.array_join(said, "; ")))).otherwise(F.array().cast("array<string>"))
-        broken = F.when(F.col("event_type") == r["event_type"], found).otherwise(broken)
+            found = F.when(F.size(said) > 0, F.array(F.concat(F.lit("WB-009 (warn): "), "event_type", F.lit(" payload schema-mismatch: "), F.array_join(said, "; ")))).otherwise(none)
+        mine = F.col("event_type").isin(*types)
+        broken = F.when(mine, found) if broken is None else broken.when(mine, found)  # one flat CASE
+    broken = none if broken is None else broken.otherwise(none)
     return rows.withColumn("warnings", F.concat(F.array_compact(F.array("_warn")), broken)).drop("_cap", "_mode", "_warn")
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.filters import event_keys, parsed
 from ..model import EVENT_COLUMNS
+from .poll import equal_to
 
 INLINE_BYTES = 16_384
 QUEUE = 256
+#: Parts that the events of one key are dealt to.
+SALTS = 16
 
 
 def fan_out(events: DataFrame, subscribers: DataFrame) -> DataFrame:
@@ -18,15 +21,21 @@ def fan_out(events: DataFrame, subscribers: DataFrame) -> DataFrame:
 
     ``subscribers`` has cursor_id, event_type_filter and last_event_id. An event has three keys and
     a filter one, so this is a join on (kind, key), not on every pair. Spark broadcasts the
-    subscribers if they are small and shuffles otherwise.
+    subscribers if they are small and shuffles otherwise; then the events of a key, which for
+    ``*`` are all of them, are dealt to ``SALTS`` tasks, to each of which go the key's filters.
     """
-    subs = subscribers.select("cursor_id", "last_event_id", parsed(F.col("event_type_filter")).alias("_f")).select("cursor_id", "last_event_id", F.col("_f.kind").alias("_kind"), F.col("_f.key").alias("_key"), F.col("_f.domain").alias("_domain"))
-    keyed = events.withColumn("_k", F.explode(event_keys(F.col("event_type")))).withColumns({"_kind": F.col("_k.kind"), "_key": F.col("_k.key")}).drop("_k")
-    joined = keyed.join(subs, ["_kind", "_key"])
+    subs = subscribers.select("cursor_id", "last_event_id", parsed(F.col("event_type_filter")).alias("_f"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")).select("cursor_id", "last_event_id", F.col("_f.kind").alias("_kind"), F.col("_f.key").alias("_key"), F.col("_f.domain").alias("_domain"), "_salt")
+    keyed = events.withColumn("_k", F.explode(event_keys(F.col("event_type")))).withColumns({"_kind": F.col("_k.kind"), "_key": F.col("_k.key"), "_salt": F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")}).drop("_k")
+    joined = keyed.join(subs, ["_kind", "_key", "_salt"]).drop("_salt")
     wanted = (F.col("event_id") > F.col("last_event_id")) & (F.col("_domain").isNull() | (F.col("_domain") == F.col("domain")))
     return joined.where(wanted).drop("_kind", "_key", "_domain", "last_event_id")
 
 
+def push_matches(where: dict | None) -> Column:
+    """A push subscriber's filter: equality on event_type, domain and subdomain; none takes everything."""
+    return equal_to(where)
+
+
 def inline_or_pointer(rows: DataFrame, columns: list[str] = EVENT_COLUMNS, limit: int = INLINE_BYTES) -> DataFrame:
     """Adds ``event``: the row as JSON if it takes at most ``limit`` bytes, else null, to be looked up by id."""
     body = F.to_json(F.struct(*[c for c in columns if c in rows.columns]))

@@ -79,8 +79,27 @@ def poll_many(events: DataFrame, cursors: DataFrame, now: int, batch: int = BATC
     return hits.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= batch).drop("_rank")
 
 
+def cursor_row(cursors: DataFrame, cursor_id: str) -> dict:
+    """An active cursor; WB-006 if it is unknown or deregistered."""
+    found = cursors.where((F.col("cursor_id") == cursor_id) & F.col("deregistered_at").isNull()).head(1)
+    if not found:
+        raise BusError("WB-006", f"no active cursor {cursor_id}", cursor_id=cursor_id)
+    return found[0].asDict()
+
+
+def poll_cursor(events: DataFrame, cursors: DataFrame, subscriptions: DataFrame, cursor_id: str, now: int, batch: int = BATCH) -> DataFrame:
+    """The next events of a cursor by its subscription's filter; WB-006 without either, WB-003 behind the oldest row."""
+    cursor = cursor_row(cursors, cursor_id)
+    check_cursor(events, cursor["last_event_id"])
+    found = subscriptions.where((F.col("subscription_id") == cursor["subscription_id"]) & F.col("deregistered_at").isNull()).head(1)
+    if not found:
+        raise BusError("WB-006", f"no active subscription {cursor['subscription_id']}", cursor_id=cursor_id)
+    return poll(events, cursor["last_event_id"], found[0]["event_type_filter"], now, batch)
+
+
 def ack(cursors: DataFrame, cursor_id: str, last_event_id: int, now: int) -> DataFrame:
-    """Sets a cursor to any id, backwards too."""
+    """Sets an active cursor to any id, backwards too."""
+    cursor_row(cursors, cursor_id)
     mine = F.col("cursor_id") == cursor_id
     return cursors.withColumns({"last_event_id": F.when(mine, last_event_id).otherwise(F.col("last_event_id")), "acked_at": F.when(mine, now).otherwise(F.col("acked_at"))})
 

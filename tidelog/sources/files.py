@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.filters import split_provided
 
 
+_local: list[str] = []
+
+
 def stored_objects(spark: SparkSession, path: str, contents: bool = False) -> DataFrame:
     """Objects kept as files named by their hash, in folders of two hex digits: sha, size, mtime and, on demand, content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -35,12 +40,19 @@ def provider_manifest(subscriptions: DataFrame) -> DataFrame:
     return rows.select("plugin", split_provided(F.col("event_type_filter")).alias("provides"), "registered_at")
 
 
+def write_sidecars(subscriptions: DataFrame, path: str) -> None:
+    """The active providers' manifest as JSON, a folder a plugin; what stood there, of providers now gone too, is replaced."""
+    provider_manifest(subscriptions).write.mode("overwrite").partitionBy("plugin").json(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; a temporary one only where a single JVM runs everything."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tidelog-"))
+            atexit.register(shutil.rmtree, _local[0], True)
+        found = "file://" + _local[0]
     return f"{found.rstrip('/')}/tidelog-{name}-{uuid.uuid4().hex}"
