@@ -249,11 +249,11 @@ def emit_validate(spark, sf_dir):
     return validate(rows, Config(max_payload_bytes=256)).select("event_id", "error_code", "violation")
 
 
-KEYED_SQL = "keyed AS (SELECT event_id AS ordinal, 'k-' || CAST(event_id % 700 AS VARCHAR) AS idempotency_key FROM bus WHERE event_id <= 2000)"
+KEYED_SQL = "keyed AS (SELECT event_id AS ordinal, 'k-' || CAST(event_id % 700 AS VARCHAR) AS idempotency_key FROM bus)"
 
 
 def _keyed(spark, sf_dir):
-    return bus_events(spark, sf_dir).where("event_id <= 2000").select(F.col("event_id").alias("ordinal"), F.concat(F.lit("k-"), (F.col("event_id") % 700).cast("string")).alias("idempotency_key"))
+    return bus_events(spark, sf_dir).select(F.col("event_id").alias("ordinal"), F.concat(F.lit("k-"), (F.col("event_id") % 700).cast("string")).alias("idempotency_key"))
 
 
 @query("SELECT min(ordinal) AS ordinal, idempotency_key FROM keyed GROUP BY idempotency_key", KEYED_SQL)
@@ -286,9 +286,9 @@ def emit_duplicates_all(spark, sf_dir):
     return emit.split_known(_keyed_all(spark, sf_dir), log)[1]
 
 
-@query("SELECT emitted_at, idempotency_key, 7000 + row_number() OVER (ORDER BY event_id) AS event_id FROM bus WHERE domain = 'svc-3'")
+@query("SELECT emitted_at, idempotency_key, 7000 + row_number() OVER (ORDER BY event_id) AS event_id FROM bus")
 def id_assign(spark, sf_dir):
-    rows = bus_events(spark, sf_dir).where("domain = 'svc-3'").withColumn("ordinal", F.col("event_id")).drop("event_id")
+    rows = bus_events(spark, sf_dir).withColumn("ordinal", F.col("event_id")).drop("event_id")
     return emit.assign_ids(rows, 7000).select("emitted_at", "idempotency_key", "event_id")
 
 
@@ -409,9 +409,9 @@ def resume_subscription(spark, sf_dir):
     return control.resume(subscriptions(spark), cursors(spark), "analytics", "bus.ui.*").select("subscription_id", "cursor_id", "last_event_id")
 
 
-@query("SELECT cursor_id, greatest(last_event_id, coalesce(top, 0)) AS last_event_id, CASE WHEN top IS NOT NULL THEN :now ELSE acked_at END AS acked_at FROM curs LEFT JOIN (SELECT 'c' || CAST(event_id % 7 AS VARCHAR) AS cursor_id, max(event_id) AS top FROM bus WHERE event_id <= 500 GROUP BY 1) USING (cursor_id)", CURS_SQL)
+@query("SELECT cursor_id, greatest(last_event_id, coalesce(top, 0)) AS last_event_id, CASE WHEN top IS NOT NULL THEN :now ELSE acked_at END AS acked_at FROM curs LEFT JOIN (SELECT 'c' || CAST(event_id % 7 AS VARCHAR) AS cursor_id, max(event_id) AS top FROM bus GROUP BY 1) USING (cursor_id)", CURS_SQL)
 def ack_many(spark, sf_dir):
-    acks = bus_events(spark, sf_dir).where("event_id <= 500").select("event_id", F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("cursor_id"))
+    acks = bus_events(spark, sf_dir).select("event_id", F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("cursor_id"))
     return poll.ack_forward(cursors(spark), acks, NOW).select("cursor_id", "last_event_id", "acked_at")
 
 
@@ -560,11 +560,11 @@ def cube_by_domain_type(spark, sf_dir):
     return bus_events(spark, sf_dir).cube("domain", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT sha256(payload) AS sha FROM bus WHERE event_id % 2 = 0 AND payload NOT IN (SELECT payload FROM bus WHERE event_id % 2 = 1 AND event_id < 100)")
+@query("SELECT DISTINCT sha256(payload) AS sha FROM bus WHERE payload NOT IN (SELECT payload FROM bus WHERE event_id % 2 = 1 AND event_id < 100)")
 def cas_missing(spark, sf_dir):
     rows = bus_events(spark, sf_dir)
     store = cas.put(rows.where("event_id % 2 = 1 AND event_id < 100").select(F.col("payload").alias("content")), None, NOW)[0]
-    return cas.put(rows.where("event_id % 2 = 0").select(F.col("payload").alias("content")), store, NOW)[0].select("sha")
+    return cas.put(rows.select(F.col("payload").alias("content")), store, NOW)[0].select("sha")
 
 
 @query("SELECT DISTINCT sha256(payload) AS sha FROM bus WHERE payload NOT IN (SELECT payload FROM bus WHERE event_id % 2 = 1 AND event_id < 100)")
