@@ -1,38 +1,60 @@
-"""Shared helpers of the training-data operators: staging, ranking, edge cases."""
+"""Shared helpers of the training-data operators: staging, workers' caches, ranking, edge cases."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
+import gc
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_staged: list[str] = []
 #: Rows of two or three longs that are broadcast at most (some 50 MB).
 BROADCAST_ROWS = 2_000_000
+#: Rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 2_000, "16m"
+
+_local: list[str] = []
+_staged: dict[str, list[str]] = {}
+_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a single-JVM session may fall back on a temporary folder.
+    Only a single-JVM session may do without it: it gets a temporary folder, deleted at its end.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tidelog-"))
+        atexit.register(shutil.rmtree, _local[0], True)
+    return "file://" + _local[0]
+
+
+@contextlib.contextmanager
+def owner(name: str) -> Iterator[None]:
+    """What is staged inside belongs to ``name``, and ``release`` of that name deletes nothing else."""
+    token = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}-{name}"
-    _staged.append(path)
+    _staged.setdefault(_owner.get(), []).append(path)
     return path
 
 
@@ -41,16 +63,47 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables from which nothing will be read any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "staged_at"):
+            delete(df.sparkSession, df.staged_at)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete what was staged under the owner ``name``. Call it only when the results are written."""
+    for path in _staged.pop(name, []):
+        delete(spark, path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in small Arrow batches, so that a worker's memory does not follow their lengths."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+_held: dict[str, object] = {}
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete what ``stage`` wrote so far, but for the last ``keep``. Call it only when the results are written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_staged) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop(0))
-        path.getFileSystem(conf).delete(path, True)
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """The worker's object ``name``, kept for the tasks after this one. A worker keeps one: another name drops it first."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

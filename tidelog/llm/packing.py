@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_within, stage, text_of
+from .common import rank_within, small_batches, stage, text_of
 from .tokens import batches_of, tokenizer_file, word_ids
 
 SIZE = 2048
@@ -53,6 +53,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = "word_bpe_49k.js
                     columns.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(out[5]) if out[5] else np.zeros(0, np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_of(docs)).mapInArrow(cut, schema)
 
 

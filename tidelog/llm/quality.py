@@ -11,13 +11,16 @@ The weights are fitted in numpy with Adam on at most ``SAMPLE`` rated documents,
 hashed id; features that no cut between grades sets apart by ``LEAST_Z`` standard errors of a full sample stay 0.
 Every whole text is scored.
 
-Edge cases: null or empty texts have only their share features; ratings with null count as 0;
-repeated documents or ratings count each; without any rating every document is kept with
-probability 1 and grade 2.
+Edge cases: null or empty texts have only their share features and are graded by them; texts of any
+length are read whole; ratings with null count as 0; repeated documents or ratings count each;
+rows equal in text get equal grades, and ties at the cut are selected; a column of the documents
+that has the name of a new one gives way to it in ``score`` and stays in ``select_documents``; an
+empty table gives no row; without any rating every document is kept with probability 1 and grade 2.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_of
+from .common import bounded_sample, text_of, worker_cache
 from .textpass import add_columns
 
 BUCKETS = 1 << 20
@@ -37,7 +40,8 @@ RATE = 0.1
 RIDGE = 2e-5
 CUT = 0.5
 GRADES = 3
-CACHE_WORDS = 200_000
+#: Words kept by a worker, and the longest of them: some 30 MB.
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -60,18 +64,15 @@ class Chunks(dict):
         if word != chunk:
             found.append(_bucket("p " + chunk.replace(word, " ", 1) if word else "p " + chunk))
         value = tuple(f for f in found if self.kept is None or f in self.kept)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[chunk] = value
+        if len(self) < CACHE_WORDS and len(chunk) <= CACHE_CHARS:  # the first words met stay
+            self[chunk] = value
         return value
 
 
 def shares(text: str, chunks: list[str], distinct: int) -> list[int]:
-    """Buckets of the coarse shares, in eighths; the last two of texts long enough to have them."""
+    """Buckets of the coarse shares, in eighths."""
     n = max(len(chunks), 1)
-    made = {"capitals": sum(map(str.isupper, chunks)) / n, "symbols": min(sum(map(text.count, "*#$%&|!")) / n, 1)}
-    if n >= 50:
-        made |= {"distinct": distinct / n, "lines": min(text.count("\n") * 20 / len(text), 1)}
+    made = {"capitals": sum(map(str.isupper, chunks)) / n, "symbols": min(sum(map(text.count, "*#$%&|!")) / n, 1), "distinct": distinct / n, "lines": min(text.count("\n") * 20 / max(len(text), 1), 1)}
     return [_bucket(f"s {k} {int(v * 8 + 1e-9)}") for k, v in made.items()]
 
 
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     joined = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(rated), "doc_id")
 
     def make() -> Callable:
-        table = Chunks()
+        table = worker_cache("chunks", Chunks)
         return lambda texts: [pa.array([features(t, table) for t in texts], pa.list_(pa.int32()))]
 
     got = add_columns(joined, make, "features array<int>", keep=["grade", "doc_id"]).orderBy("doc_id", "grade").limit(sample).toArrow()
@@ -152,12 +153,13 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None, te
     if model is None:
         return docs.select(*(keep or docs.columns)).withColumns({"expected_grade": F.lit(GRADES - 1.0), "tail_prob": F.lit(1.0), "selected": F.lit(True)})
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights at most: 8 MB
+    name = f"chunks {uuid.uuid4().hex}"
 
     def make() -> Callable:
         m = held.value
         weights = np.zeros(BUCKETS, np.float32)
         weights[m["at"]] = m["w"]
-        table, theta = Chunks(set(m["at"].tolist())), m["theta"]
+        table, theta = worker_cache(name, lambda: Chunks(set(m["at"].tolist()))), m["theta"]
 
         def run(texts: list[str]) -> list[pa.Array]:
             total = np.array([weights[features(t, table)].sum() for t in texts], np.float64)

@@ -6,18 +6,26 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-CACHE_WORDS = 300_000
+#: Words kept, and the longest of them: some 25 MB.
+CACHE_WORDS, CACHE_CHARS = 120_000, 64
 PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
-    """Word -> 64-bit hash."""
+    """Word -> 64-bit hash. The first words met stay; a full table is begun anew once most words miss it."""
+
+    missed = 0
 
     def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
         if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+            self.missed += 1
+            if self.missed > 8 * CACHE_WORDS:
+                self.clear()
+                self.missed = 0
+        elif len(word) <= CACHE_CHARS:
+            self[word] = value
         return value
 
 

@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of words.
+"""Token ids of whole texts by the tokenizers library, with a bounded cache of words.
 
 The vocabulary's splitting never crosses white space, so a text's ids are its chunks' ids in
 order, and each new chunk is encoded once a worker. Latin-1 text is lower-cased and split into
@@ -9,15 +9,16 @@ or odd separators, is encoded by the full tokenizer. Both give the library's ids
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
 
 import numpy as np
 
-#: Words kept by a worker; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+from .common import worker_cache
+
+#: Words kept by a worker, and the longest of them: some 100 MB. The first met stay; after ``RENEW`` misses for each the table is begun anew.
+CACHE_WORDS, CACHE_CHARS, RENEW = 500_000, 64, 8
 #: The pattern of the tokenizer file, for lower-cased Latin-1: letters are a-z, the three letter signs and 0xDF-0xFF but for the division sign.
 LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -52,62 +53,79 @@ class WordIds:
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(END)]] = True
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
-        self.latin: dict[str, bytes] = {}
-        self.other: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new lower-cased Latin-1 chunks; letters with one mark after them are put together from both."""
-        made = [c for c in chunks if c[-1] in MARKS and c[:-1].isalpha()]
-        rest = set(chunks).difference(made)
-        rest.update(x for c in made for x in (c[:-1], c[-1]) if x not in self.latin)
-        self._encode(sorted(rest))
-        for c in made:
-            self.latin[c] = self.latin[c[:-1]] + self.latin[c[-1]]
-
-    def _encode(self, chunks: list[str]) -> None:
-        """Ids from the library's model, many words to a call."""
-        pieces = [PIECES.findall(c) for c in chunks]
-        table = str.maketrans({chr(b): "".join(self.letters[chr(x)] for x in chr(b).encode()) for b in range(256)})
-        for at in range(0, len(chunks), 1000):
-            part = pieces[at : at + 1000]
-            ids = np.array(self.words.encode(" ".join(" ".join(p) for p in part).translate(table | {32: " "}), add_special_tokens=False).ids, np.uint16)
+        self.wide = {b: "".join(self.letters[chr(x)] for x in chr(b).encode()) for b in range(256)} | {32: " "}
+        self.known: dict[str, bytes] = {}
+        self.missed = 0
+
+    def _encode(self, chunks: list[str], out: dict[str, bytes]) -> None:
+        """Ids of lower-cased Latin-1 chunks from the library's model, many words to a call."""
+        for at in range(0, len(chunks), 2000):
+            part = chunks[at : at + 2000]
+            spaced, count = [], []
+            for c in part:
+                if c.isalpha():
+                    spaced.append(c)
+                    count.append(1)
+                elif c[-1] in MARKS and c[:-1].isalpha():
+                    spaced.append(f"{c[:-1]} {c[-1]}")
+                    count.append(2)
+                else:
+                    pieces = PIECES.findall(c)
+                    spaced.append(" ".join(pieces))
+                    count.append(len(pieces))
+            line = " ".join(spaced)
+            if not (line.isascii() and line.isprintable()):
+                line = line.translate(self.wide)
+            ids = np.array(self.words.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint16)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([len(p) for p in part])
+            last = np.cumsum(count)
             if len(ends) != last[-1]:
                 raise ValueError("the vocabulary does not end words as expected")
-            edges = np.concatenate(([0], ends))[np.concatenate(([0], last))]
-            for c, a, b in zip(chunks[at : at + 1000], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                self.latin[c] = ids[a:b].tobytes()
+            edges = (2 * ends[last - 1]).tolist()
+            raw, start = ids.tobytes(), 0
+            for c, end in zip(part, edges, strict=True):
+                out[c] = raw[start:end]
+                start = end
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
+    def _learn(self, latin: set[str], other: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks; they are kept while there is room."""
+        made: dict[str, bytes] = {}
+        if latin:
+            self._encode(list(latin), made)
+        for c in other:
+            made[c] = self._whole(c)
+        if len(self.known) < CACHE_WORDS:
+            self.known.update(x for x in made.items() if len(x[0]) <= CACHE_CHARS)
+        else:
+            self.missed += len(made)
+            if self.missed > RENEW * CACHE_WORDS:
+                self.known, self.missed = {}, 0
+        return made
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.latin) + len(self.other) > CACHE_WORDS:
-            self.latin, self.other = {}, {}
         out: list[bytes | None] = [None] * len(texts)
-        waiting: list[tuple[int, list[str]]] = []
-        new: set[str] = set()
+        waiting: list[tuple[int, list[str], list[bytes | None]]] = []
+        latin: set[str] = set()
+        other: set[str] = set()
         for i, t in enumerate(texts):
             if "<|" in t or any(c in t for c in ODD):
                 out[i] = self._whole(t)
-            elif not _latin(t):
-                chunks = t.split()
-                for c in set(chunks) - self.other.keys():
-                    self.other[c] = self._whole(c)
-                out[i] = b"".join(map(self.other.__getitem__, chunks))
+                continue
+            plain = _latin(t)
+            chunks = t.lower().split() if plain else [f" {c}" for c in t.split()]  # a space marks those that the full tokenizer takes
+            found = list(map(self.known.get, chunks))
+            if None in found:
+                (latin if plain else other).update(c for c, ids in zip(chunks, found, strict=True) if ids is None)
+                waiting.append((i, chunks, found))
             else:
-                chunks = t.lower().split()
-                found = list(map(self.latin.get, chunks))
-                if None in found:
-                    new.update([c for c, ids in zip(chunks, found, strict=True) if ids is None])
-                    waiting.append((i, chunks))
-                else:
-                    out[i] = b"".join(found)
-        if new:
-            self._learn(sorted(new))
-        for i, chunks in waiting:
-            out[i] = b"".join(map(self.latin.__getitem__, chunks))
+                out[i] = b"".join(found)
+        if waiting:
+            made = self._learn(latin, other)
+            for i, chunks, found in waiting:
+                out[i] = b"".join([made[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)])
         return [np.frombuffer(x, np.uint16) for x in out]
 
 
@@ -121,10 +139,9 @@ def _latin(text: str) -> bool:
     return True
 
 
-@functools.lru_cache(maxsize=2)
 def word_ids(file: str) -> WordIds:
     """A worker's encoder for a file, kept between tasks."""
-    return WordIds(file)
+    return worker_cache(f"words {file}", lambda: WordIds(file))
 
 
 def batches_of(texts: list[str], chars: int = 2_000_000):
