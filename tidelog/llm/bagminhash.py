@@ -9,14 +9,19 @@ once they are later than all it keeps, which takes few points a shingle.
 
 Equal texts form one node first. Signatures are cut into bands, nodes that share a band are
 candidates, and candidates are verified on their whole texts. A bucket is not expanded: its most
-linked member is verified against the others and components are formed, twice. Then only members of
-different components meet, and only if their shareable parts are large enough for the similarity,
-so that in the end every pair that shares a band is in one component, verified, or ruled out.
+linked member, the pivot, is verified against the others and components are formed, twice. What is
+open then, pairs of different components in one bucket, is found by the members' differences from
+the bucket's pivot: two texts of the asked similarity that are not both like the pivot must share
+much of what sets them apart from it. So only the rarest of these shingles are joined (prefix
+filtering), instead of the bucket with itself. In the end every pair that shares a band is in one
+component, verified, or ruled out.
 
 Edge cases: texts of less than five words are one shingle of all their words; null and empty texts
-are equal to each other and to nothing else; repeated rows are equal texts; null ids take part and
-never name a class. Nodes are 64-bit text hashes: two different texts in n share one with a chance
-of about n*n / 2**65.
+are equal to each other and to nothing else; texts of any length are read whole; repeated rows are
+equal texts, of which one is kept; null ids take part and name a class only if it has no other id;
+ties go to the least id; extra columns do not matter, whatever their names; an empty table gives no
+row. Nodes are 64-bit text hashes: two different texts in n share one with a chance of about
+n*n / 2**65.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small_side, stage, text_of
+from .common import discard, small_side, stage, text_of, worker_cache
 from .shingles import GOLD, Words, bag, mix, overlap
 from .textpass import add_columns
 
@@ -37,6 +43,8 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 8
 STARS = 2
+#: Parts that the pairs of one pivot are dealt to, and rows that one task makes of a repeated row at once.
+PIVOT_PARTS, RUN = 256, 4096
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
@@ -89,7 +97,7 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, node and band keys of every document; empty texts have no band."""
 
     def make() -> Callable:
-        table = Words()
+        table = worker_cache("words", Words)
 
         def run(texts: list[str]) -> list[pa.Array]:
             out: list = [None] * len(texts)
@@ -110,34 +118,97 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return add_columns(rows_, make, "bands array<bigint>", keep=["doc_id", "node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the similarity of their whole texts. ``pairs`` is staged."""
+def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both texts in one column. ``pairs`` is staged; a pivot's pairs are dealt to many tasks."""
+    part = F.pmod(F.xxhash64("b"), F.lit(PIVOT_PARTS))
+    few = small_side(pairs)
+    right = texts.join(few, texts["node"] == few["b"]).select("a", "b", part.alias("part"), F.col("text").alias("tb"))
+    pivots = small_side(pairs.select(F.col("a").alias("node"), part.alias("part")).distinct())
+    left = texts.join(pivots, "node").select(F.col("node").alias("a"), "part", F.col("text").alias("ta"))
+    return right.join(left, ["a", "part"]).select("a", "b", F.concat(F.char_length("ta").cast("string"), F.lit(" "), "ta", "tb").alias("text"))
+
+
+def _bags_of_both(of: Callable) -> Callable:
+    """Calls ``of`` with both bags of each row of ``_beside``; recent bags are kept, as a pivot comes often."""
 
     def make() -> Callable:
-        table, kept = Words(), OrderedDict()
+        table, kept = worker_cache("words", Words), OrderedDict()
 
-        def of(text: str):
+        def bag_of(text: str):
             if text not in kept:
                 kept[text] = bag(text, table)
-                if len(kept) > 64:
+                if len(kept) > 16:
                     kept.popitem(last=False)
+            else:
+                kept.move_to_end(text)
             return kept[text]
 
         def run(both: list[str]) -> list[pa.Array]:
-            out = []
+            rows = []
             for x in both:
                 n, _, rest = x.partition(" ")
-                out.append(overlap(of(rest[: int(n)]), of(rest[int(n) :])))
-            return [pa.array(out, pa.float64())]
+                rows.append((bag_of(rest[: int(n)]), bag_of(rest[int(n) :])))
+            return of(rows)
 
         return run
 
-    few = small_side(pairs)
-    right = texts.join(few, texts["node"] == few["b"]).select("a", "b", F.col("text").alias("tb"))
-    pivots = small_side(pairs.select(F.col("a").alias("node")).distinct())
-    left = texts.join(pivots, "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    joined = right.join(left, "a").select("a", "b", F.concat(F.char_length("ta").cast("string"), F.lit(" "), "ta", "tb").alias("text"))
-    return add_columns(joined, make, "similarity double", keep=["a", "b"])
+    return make
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the similarity of their whole texts. ``pairs`` is staged."""
+    of = _bags_of_both(lambda rows: [pa.array([overlap(x, y) for x, y in rows], pa.float64())])
+    return add_columns(_beside(pairs, texts), of, "similarity double", keep=["a", "b"])
+
+
+def single(of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The bag as a set: a shingle's further occurrences are elements of their own."""
+    h, c = of
+    if not len(h) or c.max() == 1:
+        return h
+    nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+    every = np.repeat(h, c)
+    return np.where(nth > 0, mix(every + nth.astype(np.uint64) * GOLD), every)
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with p and n, the sizes of both bags, and d, what only one of them has."""
+
+    def of(rows: list) -> list[pa.Array]:
+        sets = [(single(x), single(y)) for x, y in rows]
+        apart = [np.setxor1d(x, y).view(np.int64) for x, y in sets]
+        return [pa.array([len(x) for x, _ in sets], pa.int64()), pa.array([len(y) for _, y in sets], pa.int64()), pa.array(apart, pa.list_(pa.int64()))]
+
+    return add_columns(_beside(pairs, texts), _bags_of_both(of), "p bigint, n bigint, d array<bigint>", keep=["a", "b"])
+
+
+def open_pairs(apart: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs of different components that may have the similarity, by their differences from a pivot they share.
+
+    Sets x and y are similar enough if at most ``part * (|x| + |y|)`` elements are in one only, with
+    ``part = (1 - s) / (1 + s)``. These are what their differences from the pivot do not share, so the
+    differences must share ``(|dx| + |dy| - part * (|x| + |y|)) / 2``. If x is not like the pivot, |dx| is
+    more than ``part * (|x| + |pivot|)``, which leaves a bound for y by itself: ``(|dy| + part * (|pivot|
+    - |y|)) / 2``. Of differences in order of rarity, then, y's first ``|dy| - bound + 1`` hold a shared one;
+    it is among x's first ones if neither is like the pivot, and anywhere in x's if y is. The places at
+    which they meet bound what they can still share. ``apart`` is staged.
+    """
+    part = (1 - similarity) / (1 + similarity)
+    sized = apart.join(labels.select(F.col("node").alias("b"), "comp"), "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+    sized = sized.withColumn("size", F.size("d").cast("long")).withColumn("near", F.col("size") <= part * (F.col("n") + F.col("p")) + 1e-9)
+    sized = sized.withColumn("first", F.col("size") - F.ceil((F.col("size") + part * (F.col("p") - F.col("n"))) / 2 - 1e-9) + 1)
+    rows = stage(sized.select("a", "b", "comp", "n", "size", "near", "first", F.explode("d").alias("x")), "differing")
+    df = rows.groupBy("a", "x").agg(F.count(F.lit(1)).alias("df"))
+    rare = rows.join(df, ["a", "x"]).withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "x")))
+    rare = rare.where("df > 1").withColumn("leads", F.col("rank") <= F.col("first")).where("leads or not near").drop("df", "first")
+    rare = stage(rare, "rare")
+    other = rare.where("leads").select("a", "x", *[F.col(c).alias(f"o_{c}") for c in ("b", "comp", "n", "size", "near", "rank")])
+    share = F.least(F.col("size") - F.col("rank"), F.col("o_size") - F.col("o_rank")) + 1
+    needed = (F.col("size") + F.col("o_size") - part * (F.col("n") + F.col("o_n"))) / 2
+    met = F.expr("comp != o_comp and (o_near or (leads and b < o_b))") & (share >= needed - 1e-9)
+    found = stage(rare.where("not near").join(other, ["a", "x"]).where(met).select(F.col("b").alias("a"), F.col("o_b").alias("b")).distinct(), "met")
+    discard(rows, rare)
+    return found
 
 
 def shareable(texts: DataFrame) -> DataFrame:
@@ -147,7 +218,7 @@ def shareable(texts: DataFrame) -> DataFrame:
     """
 
     def make() -> Callable:
-        table = Words()
+        table = worker_cache("words", Words)
 
         def run(batch: list[str]) -> list[pa.Array]:
             bags = [bag(t, table) for t in batch]
@@ -170,14 +241,17 @@ def components(edges: DataFrame) -> DataFrame:
     lineage stays short and a lost executor costs a round at most.
     """
     both = stage(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("comp")), "labels")
+    labels = staged = stage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "comp"), "y").groupBy("x").agg(F.min("comp").alias("near"))
         spread = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         new = stage(spread.join(jump, "comp").select("node", "old", F.least("comp", "further").alias("comp")), "labels")
-        labels = new.select("node", "comp")
-        if new.where("old != comp").isEmpty():
+        done = new.where("old != comp").isEmpty()
+        discard(staged)
+        staged, labels = new, new.select("node", "comp")
+        if done:
+            discard(both)
             return labels
 
 
@@ -215,7 +289,7 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     picked = source.alias("s").join(small_side(chosen).alias("c"), (F.col("s.node") == F.col("c.node")) & F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")), "left_semi")
     texts = stage(picked.dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    labels, tried = None, None
+    labels, tried, pivots = None, None, None
     for turn in range(STARS + 1):
         if labels is None:
             now = members.withColumn("comp", F.col("node"))
@@ -228,15 +302,19 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             best = now.groupBy("band").agg(F.max(F.struct("links", "node", "comp")).alias("p"))
             if turn:
                 best = now.join(best, "band").where("comp != p.comp").groupBy("band").agg(F.max(F.struct("links", "node", "comp")).alias("p"))
+            else:
+                pivots = best = stage(best, "pivots")
             pairs = now.join(best, "band").where("comp != p.comp").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
         else:
+            # texts whose bag is mostly their own can be like no other
             here = stage(now.select("node").distinct(), "open-nodes")
             sizes = stage(shareable(texts.join(small_side(here), "node", "left_semi")), "sizes")
-            least = similarity / (1 + similarity)  # of both sizes together, that two similar bags share
-            fit = stage(_mixed(now.join(sizes, "node").where(F.col("s") >= similarity * F.col("n") - 1e-9)), "fit")
-            other = fit.select("band", F.col("node").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("s").alias("r"))
-            bound = F.least("s", "r") >= least * (F.col("n") + F.col("m")) - 1e-9
-            pairs = fit.join(other, "band").where(F.expr("comp < other") & bound).select(F.col("node").alias("a"), "b")
+            fit = stage(_mixed(now.join(sizes.where(F.col("s") >= similarity * F.col("n") - 1e-9).select("node"), "node")), "fit")
+            # every open member was verified against its bucket's first pivot, so pairs with that are done
+            from_pivot = stage(fit.join(pivots.select("band", F.col("p.node").alias("a")), "band").select("a", F.col("node").alias("b")).where("a != b").distinct(), "from-pivot")
+            apart = stage(differences(from_pivot, texts), "apart")
+            pairs = open_pairs(apart, labels, similarity)
+            discard(here, sizes, fit, from_pivot, apart)
         pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"]).drop("lo", "hi")
         if tried is not None:
             done = tried.select("a", "b").union(tried.select("b", "a"))
@@ -244,15 +322,41 @@ def near_components(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         found = stage(verified(stage(pairs, "pairs"), texts), "verified")
         tried = found if tried is None else tried.unionByName(found)
         labels = merged(labels, found.where(F.col("similarity") >= similarity).select("a", "b"))
+        if turn:
+            discard(now)
+    discard(members, chosen, texts, pivots)
     return source.select("doc_id", "node"), labels
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its near-duplicate class), kept (that row itself) and class_size."""
+def _named(docs: DataFrame) -> DataFrame:
+    """comp, node, doc_id and copies of the distinct (text, id) rows, with the class's least id and text, and its rows and entries.
+
+    Only classes of several entries are joined; they are broadcast if they are few, and else Spark
+    splits what is large.
+    """
     nodes, labels = near_components(docs)
-    joined = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = joined.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return joined.join(named, "comp").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "class_size")
+    rows = nodes.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = stage(rows.join(small_side(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k")
+    classes = stage(rows.groupBy("comp").agg(best, F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("entries")).where("entries > 1"), "classes")
+    joined = rows.join(small_side(classes), "comp", "left")
+    alone = F.col("entries").isNull()
+    return joined.select(
+        "comp", "node", "doc_id", "copies",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("k.doc_id")).alias("class_id"),
+        F.coalesce("class_size", "copies").alias("class_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("node") == F.col("k.node")))).alias("wins"),
+    )
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its near-duplicate class), kept (one row of a class) and class_size.
+
+    Rows equal in text and id are counted before they meet, and made again from their count.
+    """
+    runs = _named(docs).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN))))
+    rows = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("copies")) - 1)))
+    return rows.select("doc_id", "class_id", (F.col("wins") & (F.col("copy") == 0)).alias("kept"), "class_size")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -260,18 +364,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     The others' (node, id) pairs are taken out; only rows repeated in both are reduced by themselves.
     """
-    mark, key = "__tidelog_node", "__tidelog_id"
-    nodes, labels = near_components(docs)
-    joined = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).groupBy("comp", "node", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    joined = stage(joined, "joined")
-    best = joined.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("k"))
-    judged = joined.join(best, "comp").withColumn("wins", F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("node") == F.col("k.node"))).select(F.col("node").alias(mark), F.col("doc_id").alias(key), "wins", "copies")
+    mark, key, own, own_key = "__tidelog_node", "__tidelog_id", "__tidelog_own", "__tidelog_own_id"
+    judged = _named(docs).select(F.col("node").alias(mark), F.col("doc_id").alias(key), "wins", "copies")
     losers = stage(judged.where("not wins").select(mark, key), "losers")
     repeated = stage(judged.where("wins and copies > 1").select(mark, key), "repeated")
-    rows = docs.withColumn("__n", F.xxhash64(text_of(docs))).withColumn("__i", F.col("doc_id").cast("long"))
-    same = (F.col("__n") == F.col(mark)) & F.col("__i").eqNullSafe(F.col(key))
+    rows = docs.withColumn(own, F.xxhash64(text_of(docs))).withColumn(own_key, F.col("doc_id").cast("long"))
+    same = (F.col(own) == F.col(mark)) & F.col(own_key).eqNullSafe(F.col(key))
     kept = rows.join(small_side(losers), same, "left_anti")
     if not repeated.isEmpty():
         twice = small_side(repeated)
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["__n", "__i"]))
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([own, own_key]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
