@@ -1,17 +1,24 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field that adds to them.
 
 ``base_spans`` finds e-mail addresses, IPs, card and phone numbers by fixed patterns. The field's
-variables are a text's words with a digit or an @; their labels are none and the four kinds. A
-word has features of its shape and neighbours; words that stand side by side share a transition
-potential, and words of equal text or equal last digits, however far apart, share a skip potential
-(each with the one before it, so the edges grow with the words). Weights are fitted by
-pseudo-likelihood in numpy, with the base spans as labels, on at most ``SAMPLE`` texts and
-``SAMPLE_WORDS`` words of each. Loopy sum-product passes give each word's marginals; words that
-reach ``SURE`` for a kind and touch no base span become spans, neighbours of a kind together.
-
-Edge cases: null text is empty and has no span; texts of any length are read whole, in time linear
-in their length; repeated rows get equal spans; without anything to learn from, only base spans
-are given.
+variables are a text's words with a digit or an at sign; their labels are none, the four kinds, and
+secret (a key or token, which has no base pattern). A word has features of its shape and
+neighbours; words that stand side by side share a transition potential, and words of equal text or
+equal last digits, however far apart, share a skip potential (each with the one before it, so the
+edges grow with the words). Loopy sum-product passes give each word's marginals, with the words of
+base spans held at their kinds; words that reach ``SURE`` for a kind and touch no base span become
+spans, neighbours of a kind together.
+
+Weights are fitted by pseudo-likelihood in numpy on at most ``SAMPLE`` whole texts. What the field
+is to add is what the patterns miss, so it learns from hidden mentions: in a copy of each text most
+base spans are written as people do write them to other forms (another at sign, other separators,
+no country code), and keep their labels; values that stand after a word like token are secrets,
+and lose that word in some copies.
+
+Edge cases: null text is empty and has no span; texts and words of any length are read whole, in
+time linear in their length; repeated rows get equal spans; null and repeated ids do not matter;
+columns of the documents that have the name of a new one give way to it; an empty table gives no
+row; without anything to learn from, only base spans are given.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ from .common import bounded_sample, text_of
 from .textpass import add_columns
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
 # Fixed patterns: the base forms of the contract. A match of theirs never starts inside a run of digits.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -38,14 +47,26 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-WORD = re.compile(r"\S*[0-9@]\S*")
+AT = r"[@\uff20]|[\[(]at[\])]"
+WORD = re.compile(rf"\S*(?:[0-9]|{AT})\S*")
+CORE = re.compile(r"[^\s.,;:!?()\[\]\"'#$%&*|]")
+#: What a secret is learned from: a value after one of these words.
+NAMED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/]{16,})")
+#: Other forms of base spans, as (pattern, replacement); the first of each kind leaves the span as it is.
+FORMS = (
+    (("", ""), ("@", "\uff20"), ("@", " @ "), ("@", "[at]")),
+    (("", ""), (r"\.", "[.]"), (r"\.", " . "), (r"\.", "-")),
+    (("", ""), (r"[ -]?(?<=\d{4})(?=\d)", "."), (r"(\d{4})[ -]?(?=\d)", r"\1/"), (r"(\d{4})[ -]?(?=\d)", r"\1_")),
+    (("", ""), (r"^\+[0-9]{1,2}[ .-]*", ""), (r"^\+", ""), (r"^\+", "00")),
+)
 BUCKETS = 1 << 14
+FEATURES = 14
 SAMPLE = 3000
-SAMPLE_WORDS = 200
 EPOCHS = 3
-SURE = 0.95
+SURE = 0.9
 AGREE = 1.5
 PASSES = 12
+HELD = 30.0
 
 
 def luhn(digits: str) -> bool:
@@ -95,21 +116,49 @@ def _f(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
 
-def words_of(text: str, most: int | None = None) -> tuple[list[tuple[int, int]], list[list[int]], list[str]]:
-    """Spans, feature buckets and skip keys of the words with a digit or an @."""
+def _core(text: str, a: int, b: int) -> tuple[int, int]:
+    """The word without punctuation around it."""
+    first = CORE.search(text, a, b)
+    if first is None:
+        return a, a
+    while not CORE.match(text, b - 1, b):
+        b -= 1
+    return first.start(), b
+
+
+def words_of(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[str]]:
+    """Spans, feature buckets and skip keys of the words with a digit or an at sign."""
     spans, features, keys = [], [], []
     for m in WORD.finditer(text):
-        if most is not None and len(spans) >= most:
-            break
-        w = m[0][:200]
+        a, b = _core(text, *m.span())
+        w = text[a:b]
         shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda d: f"9{min(len(d[0]), 20)}", w))
-        before = text[max(0, m.start() - 24) : m.start()].split()
+        before = text[max(0, m.start() - 48) : m.start()].split()[-2:]
         after = text[m.end() : m.end() + 24].split()
-        digits = sum(c.isdigit() for c in w)
+        only = "".join(c for c in w if c in "0123456789")
+        turns = len(re.findall(r"[0-9][A-Za-z]", w))
+        marks = "".join(sorted({c for c in w if not c.isalnum()}))
+        check = luhn(only) if 14 <= len(only) <= 19 else None
         spans.append(m.span())
-        features.append([_f("shape " + shape[:60]), _f(f"digits {digits}"), _f(f"first {w[0] if not w[0].isalnum() else '.'}"), _f(f"at {'@' in w} {w.count('.')}"), _f("before " + (before[-1].lower() if before else "")), _f("after " + (after[0].lower() if after else "")), _f("bias")])
-        only = "".join(c for c in w if c.isdigit())
-        keys.append("d" + only[-7:] if len(only) >= 7 else "w" + w.strip(".,;:!?()[]\"'").lower())
+        features.append(
+            [
+                _f("bias"),
+                _f("shape " + shape),
+                _f(f"digits {min(len(only), 24)}"),
+                _f(f"share {len(only) * 8 // max(len(w), 1)}"),
+                _f(f"length {min(len(w) // 4, 16)}"),
+                _f(f"turns {min(turns // 2, 8)}"),
+                _f("marks " + marks[:16]),
+                _f(f"only digits {w.isdigit()}"),
+                _f(f"check {check}"),
+                _f(f"check {check} {marks[:16]}"),
+                _f(f"at {re.search(AT, w) is not None} {w.count('.')}"),
+                _f("before " + (before[-1].lower() if before else "")),
+                _f("before two " + (before[0].lower() if len(before) > 1 else "")),
+                _f("after " + (after[0].lower() if after else "")),
+            ]
+        )
+        keys.append("d" + only[-7:] if len(only) >= 7 else "w" + w.lower())
     return spans, features, keys
 
 
@@ -126,8 +175,36 @@ def edges_of(text: str, spans: list[tuple[int, int]], keys: list[str]) -> tuple[
     return near, far
 
 
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """Spans of values named as secrets."""
+    return [(m.start(1), SECRET, m.end(1)) for m in NAMED.finditer(text)]
+
+
+def hidden(text: str, known: list[tuple[int, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its known spans in other forms, and where they are then. The choice hangs on each span's own text."""
+    out, spans, at, size = [], [], 0, 0
+    for a, k, b in sorted(known):
+        if a < at:
+            continue
+        value, before = text[a:b], text[at:a]
+        pick = zlib.crc32(value.encode())
+        if k == SECRET:
+            new = value
+            if pick % 4 == 0:  # without the word that names it
+                before = re.sub(r"(?i)[\w-]+[\"']?\s*[:=]\s*[\"']?\Z", "", before)
+        else:
+            pattern, form = FORMS[k][pick % len(FORMS[k])]
+            new = re.sub(pattern, form, value) if pattern else value
+        out += [before, new]
+        size += len(before)
+        spans.append((size, k, size + len(new)))
+        size += len(new)
+        at = b
+    return "".join([*out, text[at:]]), spans
+
+
 def gold(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
-    """0, or 1 + kind of the first base span that overlaps each word."""
+    """0, or 1 + kind of the first of the sorted spans ``base`` that overlaps each word."""
     labels, k = [], 0
     for a, b in spans:
         while k < len(base) and base[k][2] <= a:
@@ -138,7 +215,7 @@ def gold(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list
 
 def fit(samples: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int]], list[int]]], seed: int = 5) -> dict:
     """Unary, transition and skip weights by pseudo-likelihood."""
-    n = len(KINDS) + 1
+    n = len(NAMES) + 1
     w, near_w, far_w = np.zeros((BUCKETS, n)), np.zeros((n, n)), AGREE * np.eye(n)  # the prior: linked words agree
     rng = np.random.default_rng(seed)
     for epoch in range(EPOCHS):
@@ -173,10 +250,13 @@ def fit(samples: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[i
     return {"w": w.astype(np.float32), "near": near_w, "far": (far_w + far_w.T) / 2}
 
 
-def marginals(model: dict, features: list[list[int]], near: list[tuple[int, int]], far: list[tuple[int, int]]) -> np.ndarray:
-    """Beliefs (words, labels) after loopy sum-product passes over all edges at once."""
-    n = len(KINDS) + 1
+def marginals(model: dict, features: list[list[int]], near: list[tuple[int, int]], far: list[tuple[int, int]], known: list[int] | None = None) -> np.ndarray:
+    """Beliefs (words, labels) after loopy sum-product passes over all edges at once; ``known`` labels but 0 are held."""
+    n = len(NAMES) + 1
     unary = model["w"][np.array(features)].sum(1).astype(np.float64)
+    if known is not None:
+        at = np.flatnonzero(known)
+        unary[at, np.array(known)[at]] += HELD
     edges = np.array([*near, *far], np.int64).reshape(-1, 2)
     if not len(edges):
         e = np.exp(unary - unary.max(1, keepdims=True))
@@ -208,9 +288,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
         return []
     near, far = edges_of(text, spans, keys)
     y = gold(spans, base)
-    if all(y) or not spans:
+    if all(y):
         return []
-    p = marginals(model, features, near, far)
+    p = marginals(model, features, near, far, y)
     out: list[tuple[int, int, int]] = []
     joined = set(near)
     last = -2
@@ -218,10 +298,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
         k = int(p[i].argmax())
         if known or not k or p[i, k] < SURE:
             continue
-        core = re.search(r"[^\s.,;:!?()\[\]\"'](?:.*[^\s.,;:!?()\[\]\"'])?", text[a:b])
-        if core is None:
-            continue
-        a, b = a + core.start(), a + core.end()
+        a, b = _core(text, a, b)
+        if a == b and b < spans[i][1]:  # a sign alone
+            a, b = spans[i]
         if out and last == i - 1 and (i - 1, i) in joined and out[-1][1] == k - 1:
             out[-1] = (out[-1][0], k - 1, b)
         else:
@@ -231,7 +310,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return ",".join(f"{NAMES[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -244,36 +323,46 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
         else:
             merged.append([a, k, b])
     for a, k, b in merged:
-        out += [text[at:a], f"[{KINDS[k].upper()}]"]
+        out += [text[at:a], f"[{NAMES[k].upper()}]"]
         at = b
     return "".join([*out, text[at:]]) if merged else text
 
 
+def example(text: str) -> tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int]], list[int]]:
+    """Features, both kinds of edges and labels of a text with hidden mentions."""
+    base = base_spans(text)
+    named = [x for x in secrets(text) if all(x[2] <= a or x[0] >= b for a, _, b in base)]
+    text, known = hidden(text, [*base, *named])
+    spans, features, keys = words_of(text)
+    near, far = edges_of(text, spans, keys)
+    return features, near, far, gold(spans, known)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Fit on at most ``sample`` texts that have a digit or an @, those of least hash."""
+    """Fit on at most ``sample`` texts that have a digit or an at sign, those of least hash; their features are made where they lie."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), text_of(docs).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    chosen = bounded_sample(rows.select("h"), F.col("h"), sample, docs.count()).distinct()  # longs
 
     def make() -> Callable:
         def run(texts: list[str]) -> list[pa.Array]:
             out = []
             for t in texts:
-                spans, features, keys = words_of(t, SAMPLE_WORDS)
-                near, far = edges_of(t, spans, keys)
-                out.append({"f": [x for f in features for x in f], "near": [x for e in near for x in e], "far": [x for e in far for x in e], "y": gold(spans, base_spans(t))})
+                features, near, far, y = example(t)
+                out.append({"f": [x for f in features for x in f], "near": [x for e in near for x in e], "far": [x for e in far for x in e], "y": y})
             return [pa.array(out, pa.struct([(k, pa.list_(pa.int32())) for k in ("f", "near", "far", "y")]))]
 
         return run
 
-    kept = bounded_sample(rows, F.col("h"), sample, docs.count())
+    kept = rows.join(F.broadcast(chosen), "h")
     got = add_columns(kept, make, "s struct<f: array<int>, near: array<int>, far: array<int>, y: array<int>>", keep=["h"]).orderBy("h").limit(sample).toArrow()
     pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))
-    samples = [([s["f"][i : i + 7] for i in range(0, len(s["f"]), 7)], pairs(s["near"]), pairs(s["far"]), s["y"]) for s in got.column("s").to_pylist()]
+    samples = [([s["f"][i : i + FEATURES] for i in range(0, len(s["f"]), FEATURES)], pairs(s["near"]), pairs(s["far"]), s["y"]) for s in got.column("s").to_pylist()]
     return fit(samples) if samples else None
 
 
 def annotate(docs: DataFrame, model: dict | None, fields: str, of: Callable[[str, list, list], tuple], types: list[pa.DataType], keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Columns made by ``of`` from (text, base spans, added spans) of every whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for five labels: 320 kB
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for six labels: 400 kB
 
     def make() -> Callable:
         m = held.value
@@ -282,7 +371,7 @@ def annotate(docs: DataFrame, model: dict | None, fields: str, of: Callable[[str
             rows = []
             for t in texts:
                 base = base_spans(t)
-                rows.append(of(t, base, added_spans(t, base, m) if m is not None and ("@" in t or DIGIT.search(t)) else []))
+                rows.append(of(t, base, added_spans(t, base, m) if m is not None and WORD.search(t) else []))
             return [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)]
 
         return run
@@ -291,14 +380,14 @@ def annotate(docs: DataFrame, model: dict | None, fields: str, of: Callable[[str
 
 
 def find_in_documents(docs: DataFrame) -> DataFrame:
-    """The contract's rows. The counts are those of the base patterns."""
+    """The contract's rows, the counts being those of the base patterns, with n_added and n_spans, the spans that the field adds and all spans."""
 
     def row(text: str, base: list, added: list) -> tuple:
         counts = [sum(k == i for _, k, _ in base) for i in range(len(KINDS))]
-        return (*counts, hashlib.sha256(render(base).encode()).hexdigest(), render([*base, *added]), len(added))
+        return (*counts, hashlib.sha256(render(base).encode()).hexdigest(), render([*base, *added]), len(added), len(base) + len(added))
 
-    fields = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
-    return annotate(docs, train(docs), fields, row, [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()], keep=["doc_id"])
+    fields = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint"
+    return annotate(docs, train(docs), fields, row, [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2, keep=["doc_id"])
 
 
 def masked_documents(docs: DataFrame) -> DataFrame:
