@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelog.llm import bagminhash, decontam, idcodec, idfiles, langid, merkle, packing, pii, quality, sharding, tokens, warc
+from tidelog.llm import bagminhash, common, decontam, idcodec, idfiles, langid, merkle, packing, pii, quality, sharding, tokens, warc
 from tidelog.llm.common import bounded_sample, rank_within
 from tidelog.llm.shingles import Words, bag, overlap
 
@@ -419,3 +420,234 @@ def test_samples_are_full_however_few_rows_are_eligible(spark):
     few = spark.range(4000).select("id", F.concat_ws(" ", F.lit("the thing and of"), F.col("id")).alias("text"), F.when(F.col("id") % 100 == 3, F.lit("en")).alias("lang"), F.col("id").alias("doc_id"))
     assert langid.train(few, F.lit(True), sample=20)["names"] == ["en"]
     assert pii.train(few.withColumn("text", F.when(F.col("id") % 1000 == 1, F.lit("call +1 988 555 2485")).otherwise("no such")), sample=20) is not None
+
+
+def test_one_row_of_a_class_is_kept(spark):
+    text = " ".join(EN * 3)
+    rows = [(1, text), (1, text), (2, text + " more"), (2, text + " more"), (None, text), (None, "only null"), (None, "only null"), (5, None), (6, ""), (5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bagminhash.classes_of(d).collect()
+    assert len(got) == len(rows)
+    assert collections.Counter((r.doc_id, r.class_id, r.class_size) for r in got) == collections.Counter([(1, 1, 5)] * 2 + [(2, 1, 5)] * 2 + [(None, 1, 5)] + [(None, None, 2)] * 2 + [(5, 5, 3)] * 2 + [(6, 5, 3)])
+    assert sorted((r.doc_id is None, r.doc_id) for r in got if r.kept) == [(False, 1), (False, 5), (True, None)]
+    assert len(bagminhash.one_of_each(d).collect()) == 3
+
+
+def test_open_pairs_lose_no_link(spark):
+    """Sets around a pivot: every link between components of which not both ends are like the pivot comes out."""
+    r = random.Random(4)
+    base = list(range(100))
+    sets = {0: frozenset(base)}
+    for i in range(1, 90):
+        of = sets[r.choice([0, *range(max(1, i - 8), i)])]
+        sets[i] = frozenset(x for x in of if r.random() > 0.07) | {r.randrange(100, 160) for _ in range(r.randint(0, 9))}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    comp = {i: -1 if like(0, i) else i for i in sets}
+    apart = common.stage(spark.createDataFrame([(0, i, 100, len(sets[i]), sorted(sets[0] ^ sets[i])) for i in range(1, 90)], "a long, b long, p long, n long, d array<long>"), "apart")
+    labels = spark.createDataFrame([(i, c) for i, c in comp.items() if c < 0], "node long, comp long")
+    got = {frozenset((x.a, x.b)) for x in bagminhash.open_pairs(apart, labels).collect()}
+    want = {frozenset((i, j)) for i in range(1, 90) for j in range(1, i) if comp[i] != comp[j] and like(i, j)}
+    assert len(want) > 20 and want <= got
+    assert len(got) < 89 * 88 / 4
+
+
+def test_bags_as_sets_keep_the_similarity():
+    r = random.Random(6)
+    for _ in range(50):
+        a, b = (bag(" ".join(r.choice("xyz") for _ in range(r.randint(1, 60))), Words()) for _ in range(2))
+        x, y = set(bagminhash.single(a).tolist()), set(bagminhash.single(b).tolist())
+        assert len(x) == a[1].sum() and abs(len(x & y) / len(x | y) - overlap(a, b)) < 1e-12
+
+
+def brute_matches(text, items):
+    """The best similarity of each item over all windows of its length, or the whole of a shorter document."""
+    table, out = Words(), {}
+    from tidelog.llm.shingles import hashes, shingles
+
+    words = decontam.WORD.findall(text.lower())
+    for k, item in items:
+        mine = decontam.WORD.findall((item or "").lower())
+        if not mine or not words:
+            continue
+        width = min(5, len(mine))
+        if len(words) < width:
+            continue
+        of = lambda x: np.unique(shingles(hashes(x, table), width), return_counts=True)
+        n = min(len(mine), len(words))
+        best = max(overlap(of(words[p : p + n]), of(mine)) for p in range(len(words) - n + 1))
+        if best >= 0.8:
+            out[k] = best
+    return out
+
+
+def test_op6_against_all_windows(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([3, 8, 20, 20, 45])))) for i in range(40)] + [(40, None), (41, ""), (7, "w1 w2 w1 w2 w1 w2 w1 w2 w1 w2")]
+    docs = []
+    for i in range(90):
+        words = [r.choice(vocabulary) for _ in range(r.choice([0, 4, 15, 60, 200]))]
+        for _ in range(r.randint(0, 3)):
+            item = (r.choice(items)[1] or "").split()
+            if item and r.random() < 0.3:
+                item[r.choice([0, -1, r.randrange(len(item))])] = r.choice(vocabulary)
+            at = r.randint(0, len(words))
+            words[at:at] = item[r.randint(0, 1) : len(item) - r.randint(0, 1)]
+        docs.append((i, " ".join(words)))
+    docs += [(90, "w1 w2 " * 3000), (91, None), (None, docs[3][1]), (3, docs[3][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"item_id": F.lit("clash"), "similarity": F.lit(None).cast("string"), "hits": F.lit(1)})
+    got = collections.Counter((x.doc_id, x.item_id, round(x.similarity, 9)) for x in decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = collections.Counter((i, k, round(v, 9)) for i, t in docs for k, v in brute_matches(t or "", items).items())
+    assert len(want) > 30 and got == want
+    many = decontam.Items([(i, t or "") for i, t in items], Words())
+    assert len(many.ids) == 41
+
+
+def test_a_fitted_classifier_on_odd_rows(spark, docs):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(EN) for _ in range(60)) + (" vileword" if i % 4 == 1 else "") + ("!!" * 40 if i % 4 == 2 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 2), int(i % 4 == 1)) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    odd = docs.withColumns({"expected_grade": F.lit("clash"), "tail_prob": F.lit("clash")})
+    got = quality.score(odd, model, keep=["doc_id", "text"]).collect()
+    assert len(got) == docs.count() and all(0 <= x.tail_prob <= 1 for x in got)
+    by = collections.defaultdict(set)
+    for x in got:
+        by[x.text or ""].add((x.expected_grade, x.tail_prob, x.selected))
+    assert all(len(v) == 1 for v in by.values())
+    kept = quality.select_documents(odd, labels)
+    assert kept.columns == odd.columns
+    wholly = quality.features("clean " * 30_000 + "vileword", quality.Chunks())
+    assert quality._bucket("w vileword") in wholly and len(quality.features("", quality.Chunks())) == 4
+
+
+def test_long_texts_score_alike_in_one_run_or_many(monkeypatch):
+    text = "".join(random.Random(1).choice("ab ç\u4e2d1.  ") for _ in range(5000))
+    whole = langid.counted(text)
+    for n in (4, 7, 100, 4999):
+        monkeypatch.setattr(langid, "RUN_BYTES", n)
+        again = langid.counted(text)
+        assert all((a == b).all() for a, b in zip(whole, again, strict=True))
+
+
+def test_marginals_are_exact_on_a_tree_and_close_on_a_loop():
+    import itertools
+
+    r = np.random.default_rng(1)
+    n = len(pii.NAMES) + 1
+    model = {"w": r.normal(0, 1, (pii.BUCKETS, n)).astype(np.float32), "near": r.normal(0, 0.5, (n, n)), "far": np.eye(n) * 0.8}
+    features = [r.integers(0, pii.BUCKETS, pii.FEATURES).tolist() for _ in range(4)]
+
+    def exact(near, far, known):
+        total = np.zeros((4, n))
+        for y in itertools.product(range(n), repeat=4):
+            if any(k and k != v for k, v in zip(known, y, strict=True)):
+                continue
+            e = sum(model["w"][f].sum(0)[v] for f, v in zip(features, y, strict=True)) + sum(model["near"][y[a], y[b]] for a, b in near) + sum(model["far"][y[a], y[b]] for a, b in far)
+            for i, v in enumerate(y):
+                total[i, v] += np.exp(e)
+        return total / total.sum(1, keepdims=True)
+
+    for near, far, most in (([(0, 1), (1, 2)], [(1, 3)], 1e-3), ([(0, 1), (1, 2), (2, 3)], [(0, 3)], 0.1)):
+        for known in ([0, 0, 0, 0], [2, 0, 0, 0]):
+            assert np.abs(pii.marginals(model, features, near, far, known) - exact(near, far, known)).max() < most
+
+
+def test_the_field_finds_hidden_mentions():
+    r = random.Random(9)
+    word = lambda: r.choice(EN) + r.choice(["", "ing", "ed"])
+
+    def document():
+        words = [word() for _ in range(40)]
+        card = [r.randint(0, 9) for _ in range(15)]
+        card = next("".join(map(str, [*card, k])) for k in range(10) if pii.luhn("".join(map(str, [*card, k]))))
+        made = [f"{word()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.org", ".".join(str(r.randint(1, 255)) for _ in range(4)), card, f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}", f'token = "{r.getrandbits(160):040x}"', "version 4.0.", f"in {r.randint(1900, 2030)}", str(r.randint(10, 99999)), f"{r.getrandbits(52) % 10**15:015d}7"]
+        for x in r.sample(made, 4):
+            words.insert(r.randint(0, len(words)), x)
+        return " ".join(words)
+
+    model = pii.fit([pii.example(document()) for _ in range(400)])
+    found = missed = false = 0
+    for _ in range(200):
+        text = document()
+        base = pii.base_spans(text)
+        other, known = pii.hidden(text, sorted([*base, *pii.secrets(text)]))
+        left = pii.base_spans(other)
+        added = pii.added_spans(other, left, model)
+        for a, k, b in known:
+            if not any(x < b and y > a for x, _, y in left):
+                hit = any(x < b and y > a and j == k for x, j, y in added)
+                found, missed = found + hit, missed + (not hit)
+        false += sum(not any(x < b and y > a for a, _, b in known) for x, _, y in added)
+        assert all(y <= a or x >= b for x, _, y in added for a, _, b in left)
+    assert found > 100 and found / (found + missed) > 0.9 and false / (found + false) < 0.05
+    assert pii.words_of("9" * 5000 + "x" * 300 + "1234567")[2] == ["d1234567"]
+
+
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
+def test_codec_takes_fewer_bits_than_zlib_and_the_static_order_0():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(SF, columns=["text"]).column("text").to_pylist()]
+    parts = [np.append(x, np.uint16(1)) for x in tokens.WordIds(tokens.tokenizer_file())(texts)]
+    raw = idcodec.pack_file(list(range(len(parts))), parts)
+    assert all((a == b).all() for a, (_, b) in zip(parts, idcodec.unpack_file(raw), strict=True))
+    ids = np.concatenate(parts)
+    blocks = sum(len(zlib.compress(ids[i : i + 2048].astype("<u2").tobytes(), 6)) for i in range(0, len(ids), 2048))
+    whole = len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+    p = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(raw) < 0.75 * blocks and len(raw) < 0.85 * whole and len(raw) * 8 < -(p * np.log2(p)).sum() * len(ids)
+    one = idcodec.Counts.unpack(idcodec.Counts.of(ids).pack())
+    block = ids[None, : idcodec.BLOCK]
+    assert (idcodec.decode_blocks(idcodec.encode_blocks(block, one), one) == block).all()  # a block by itself
+
+
+def test_a_task_writes_several_files(docs):
+    d = docs.coalesce(1)
+    index = idfiles.write_ids(d, file_ids=2000)
+    assert index.count() > 8 and index.groupBy("part").count().agg(F.max("count")).first()[0] > 2
+    got = idfiles.read_ids(index).orderBy("start").collect()
+    want = sorted(docs.collect(), key=lambda r: (r.doc_id, r.text or ""))
+    start = 0
+    for r, g in zip(want, got, strict=True):
+        assert (g.doc_id, g.start, g.ids) == (r.doc_id, start, plain_ids(r.text) + [1])
+        start += g.n_tokens
+
+
+def test_slots_of_null_and_tied_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, None), (4, "x"), (4, "x"), (4, "yy"), (5, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit(9), "slot": F.lit("clash")})
+    a, b = (sorted(map(str, map(tuple, sharding.shard_documents(x, 40).collect()))) for x in (d, d.repartition(5)))
+    assert a == b and len(a) == len(rows)
+
+
+def test_staged_tables_have_owners(spark):
+    with common.owner("one"):
+        mine = common.stage(spark.range(3), "mine")
+    other = common.stage(spark.range(4), "other")
+    assert mine.count() == 3
+    common.release(spark, "one")
+    assert other.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ|does not exist"):
+        spark.read.parquet(mine.staged_at).count()
+    common.discard(other)
+
+
+def test_a_pipeline_run_leaves_other_results(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(2)
+    rows = make(60)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, r.choice([1, 1, 0]), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[9][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = bagminhash.classes_of(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert pipeline.run(spark, str(tmp_path)).columns[:2] == ["doc_id", "piece"]
+    assert before.count() == len(rows)
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    empty = at.limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == at.columns)

@@ -34,8 +34,8 @@ BATCH_IDS = 1 << 20
 FILES = "part int, seq int, path string, n_docs long, n_ids long"
 
 
-def write_ids(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
-    """Write the corpus's ids; the staged index, one row a file."""
+def write_ids(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", file_ids: int = FILE_IDS) -> DataFrame:
+    """Write the corpus's ids in files of about ``file_ids``; the staged index, one row a file."""
     folder = new_path(docs.sparkSession, "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def write_ids(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFra
                     keys.append(key)
                     held.append(np.append(x, np.uint16(END_ID)))
                     size += len(held[-1])
-                    if size >= FILE_IDS:
+                    if size >= file_ids:
                         close()
         if keys:
             close()

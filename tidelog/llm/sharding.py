@@ -4,9 +4,10 @@ At each level every child draws ``-ln(u) / weight`` with ``u`` hashed from the d
 and the child's name, and the least draw wins. A child's chance is its share of the weight, a
 draw changes only where a weight does, and so only subtrees with changed weights gain or lose.
 
-Edge cases: a null ``doc_id`` is hashed like any value (all such rows share a shard); repeated
-rows share a shard and get slots of their own; null text has size 0 + overhead; extra columns
-are dropped by ``assign``'s callers, not by ``assign``; an empty table gives an empty result.
+Edge cases: a null ``doc_id`` is hashed like any value (all such rows share a shard); rows of equal
+id share a shard and get slots of their own, by checksum and size; null text has size 0 + overhead;
+texts of any length only add to size; extra columns are not read by ``shard_documents``, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,10 +97,10 @@ def assign(docs: DataFrame, topology: Topology, key: str = "doc_id") -> DataFram
     return docs.withColumn("_at", place(F.col(key), topology)).withColumn("grown_shard", place(F.col(key), topology.grown())["shard"]).select("*", F.col("_at.region").alias("region"), F.col("_at.rack").alias("rack"), F.col("_at.shard").alias("shard")).drop("_at")
 
 
-def with_slots(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A gapless slot from 0 in each shard, ranked in parts so that no task holds a shard."""
-    salt = F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(RANK_PARTS))
-    return rank_within(assigned, ["shard"], [key], salt, "slot")
+def with_slots(assigned: DataFrame, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
+    """A gapless slot from 0 in each shard, ranked in parts so that no task holds a shard. ``ties`` order and part rows of equal key."""
+    salt = F.pmod(F.xxhash64(F.col(key), *ties, F.lit("slot")), F.lit(RANK_PARTS))
+    return rank_within(assigned, ["shard"], [key, *ties], salt, "slot")
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
@@ -111,5 +112,5 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """The digest of the contract: sizes, checksums, shard, slot and the shard after growth."""
     text = text_of(docs)
     rows = docs.select("doc_id", (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
-    out = with_slots(assign(rows, Topology.balanced(shards)))
+    out = with_slots(assign(rows, Topology.balanced(shards)), ties=("text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")

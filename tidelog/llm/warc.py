@@ -12,8 +12,6 @@ kept as it is in the index; null page ids are always responses; of rows equal in
 payload one is the response and the others revisit it.
 """
 
-from __future__ import annotations
-
 import base64
 import re
 import uuid
@@ -144,7 +142,7 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The selected records of an index. ``payloads=False`` leaves the payload null once it is checked."""
     import hashlib
 
-    def read(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def read(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("offset")
         fs, path = filesystem(key[0])
         rows = []
