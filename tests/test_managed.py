@@ -145,3 +145,44 @@ def test_scratch_needs_no_setting():
     bare.sparkContext.master = "yarn"
     with pytest.raises(RuntimeError):
         scratch(bare, "x")
+
+
+def test_a_sweep_defers_what_it_cannot_read(spark, tmp_path):
+    import glob
+
+    from tests.test_engine import APRIL, JUNE, MAY
+    from tidelog.sources import store as stores
+
+    s = stores.EventStore(spark, f"file://{tmp_path}/store")
+    rows = lambda a, b: spark.createDataFrame([(i, "bus.test.fired", "d", json.dumps({"n": i})) for i in range(a, b)], "ordinal long, event_type string, domain string, payload string")
+    s.emit(rows(1, 4), APRIL)
+    s.emit(rows(4, 7), MAY)
+    assert s.sweep(MAY - 1)["moved"] == 3 and len(s.state()["live"]) == 2
+    s.emit(rows(7, 9), APRIL + 1)
+    untouched = s.state()["live"][1]
+    bad = glob.glob(f"{tmp_path}/store/warm/*/2026-04/*.parquet")
+    kept = {p: open(p, "rb").read() for p in bad}
+    for p in bad:
+        open(p, "wb").write(b"spoilt")
+        crc = p.rsplit("/", 1)[0] + "/." + p.rsplit("/", 1)[1] + ".crc"
+        if glob.glob(crc):
+            import os
+
+            os.remove(crc)
+    done = s.sweep(MAY - 1)
+    assert done["deferred"] == ["2026-04"] and done["moved"] == 0 and untouched in s.state()["live"]
+    with pytest.raises(BusError, match="WB-013"):
+        s.poll_tiered(0)
+    done = s.sweep(JUNE)
+    assert (done["moved"], done["buckets"], done["deferred"]) == (3, ["2026-05"], ["2026-04"])
+    for p, raw in kept.items():
+        open(p, "wb").write(raw)
+    assert s.sweep(JUNE)["moved"] == 2
+    assert [r.event_id for r in s.poll_tiered(0).collect()] == list(range(1, 9))
+    (tmp_path / "store" / "lock").touch()
+    with pytest.raises(BusError, match="WB-004"):
+        s.sweep(JUNE)
+    import os
+
+    os.utime(tmp_path / "store" / "lock", (1, 1))
+    assert s.sweep(JUNE)["moved"] == 0
