@@ -10,12 +10,13 @@ SF = "/root/testdata/sf0.01"  # 10,000 events: more than the prefixes that the o
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["emit_dedup_all", "emit_duplicates_all", "id_assign_all", "ack_many_all", "cas_missing_all"])
+@pytest.mark.parametrize("name", ["emit_dedup", "emit_duplicates", "id_assign", "ack_many", "cas_missing", "emit_accepted", "emit_rejected", "store_life", "ack_cursor", "poll_by_cursor", "deregistered", "dlq_drained", "cas_get", "managed_batch", "emit_dedup_all", "emit_duplicates_all", "id_assign_all", "ack_many_all", "cas_missing_all"])
 def test_whole_log(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for table in ("events", "documents"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     n = db.sql("SELECT count(*) FROM events").fetchall()[0][0]
     got = QUERIES[name](spark, SF)
     want = db.sql(ORACLES[name])

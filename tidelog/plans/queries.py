@@ -16,8 +16,11 @@ from ..functions.validate import validate
 from ..model import EVENT_COLUMNS, Config
 from ..operators import cas, control, dlq, emit, evolve, fanout, inspect, poll, sweep
 from ..sources.bus import BUS_SQL, bus_events
+from ..sources.control_log import ControlLog
 from ..sources.files import scratch
+from ..sources.store import EventStore
 from ..streaming import delivery
+from ..streaming.managed import Subscriber
 
 NOW = 1_705_000_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,6 +577,100 @@ def cas_missing_all(spark, sf_dir):
     return cas.put(rows.select(F.col("payload").alias("content")), store, NOW)[0].select("sha")
 
 
+#: A batch in which every 11th event has a bad type, keys repeat every 5,000 events, and the log has the first 399 keys.
+WHOLE_SQL = """whole AS (SELECT *, event_id AS ordinal, 'k-' || CAST(event_id % 5000 AS VARCHAR) AS key, event_id % 11 = 2 AS bad FROM bus),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS nth FROM whole WHERE NOT bad),
+taken AS (SELECT *, 9000 + row_number() OVER (ORDER BY ordinal) AS new_id FROM firsts WHERE nth = 1 AND key NOT IN (SELECT 'k-' || CAST(event_id AS VARCHAR) FROM bus WHERE event_id < 400))"""
+
+
+def _whole_batch(spark, sf_dir):
+    rows = bus_events(spark, sf_dir).drop("event_id", "emitted_at", "expires_at", "dedup_expires_at", "bucket")
+    ids = bus_events(spark, sf_dir).select(F.col("event_id").alias("ordinal"), F.col("idempotency_key"))
+    rows = rows.join(ids, "idempotency_key").withColumns({"idempotency_key": F.concat(F.lit("k-"), (F.col("ordinal") % 5000).cast("string")), "event_type": F.when(F.col("ordinal") % 11 == 2, "bus.Bad").otherwise(F.col("event_type"))})
+    log = bus_events(spark, sf_dir).where("event_id < 400").withColumn("idempotency_key", F.concat(F.lit("k-"), F.col("event_id").cast("string")))
+    return emit.emit_batch(rows, log, None, NOW, 9000)
+
+
+@query("SELECT ordinal, new_id AS event_id, key AS idempotency_key, lag(new_id) OVER (PARTITION BY correlation_id ORDER BY new_id) AS parent_event_id, :now + 259200000 AS expires_at FROM taken", WHOLE_SQL)
+def emit_accepted(spark, sf_dir):
+    return _whole_batch(spark, sf_dir)[0].select("ordinal", "event_id", "idempotency_key", "parent_event_id", "expires_at")
+
+
+@query("SELECT ordinal, CASE WHEN bad THEN 'WB-001' ELSE 'WB-002' END AS error_code FROM whole WHERE ordinal NOT IN (SELECT ordinal FROM taken)", WHOLE_SQL)
+def emit_rejected(spark, sf_dir):
+    return _whole_batch(spark, sf_dir)[1].select("ordinal", "error_code")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'live' ELSE 'warm' END AS tier, payload FROM bus")
+def store_life(spark, sf_dir):
+    """Odd events are emitted first, even ones a month later; a sweep in between moves the first; ids are mapped back by key."""
+    store = EventStore(spark, f"{scratch(spark, 'store')}")
+    rows = bus_events(spark, sf_dir)
+    batch = rows.select(F.col("event_id").alias("ordinal"), "event_type", "domain", "payload", "idempotency_key")
+    store.emit(batch.where("ordinal % 2 = 1"), NOW)
+    store.emit(batch.where("ordinal % 2 = 0"), NOW + 31 * 86_400_000)
+    store.sweep(NOW + 2 * 86_400_000, (1 << 31) - 1)
+    tiers = store.live().select("idempotency_key", "payload", F.lit("live").alias("tier")).unionByName(store.warm().select("idempotency_key", "payload", F.lit("warm").alias("tier")))
+    return rows.select("event_id", "idempotency_key").join(tiers, "idempotency_key").select("event_id", "tier", "payload")
+
+
+@query("SELECT cursor_id, CASE WHEN cursor_id = 'c4' THEN 17 ELSE last_event_id END AS last_event_id, CASE WHEN cursor_id = 'c4' THEN :now ELSE acked_at END AS acked_at FROM curs", CURS_SQL)
+def ack_cursor(spark, sf_dir):
+    return poll.ack(cursors(spark), "c4", 17, NOW).select("cursor_id", "last_event_id", "acked_at")
+
+
+@query("SELECT event_id, event_type FROM bus WHERE event_id > 900 AND expires_at > :now ORDER BY event_id LIMIT 60")
+def poll_by_cursor(spark, sf_dir):
+    return poll.poll_cursor(bus_events(spark, sf_dir), cursors(spark), subscriptions(spark), "c4", NOW, 60).select("event_id", "event_type")
+
+
+@query("SELECT subscription_id, cursor_id, s.deregistered_at AS sub_gone, c.gone AS cursor_gone FROM (SELECT subscription_id, CASE WHEN subscription_id = 's1' THEN :now ELSE deregistered_at END AS deregistered_at FROM subs) s JOIN (SELECT subscription_id, cursor_id, CASE WHEN subscription_id = 's1' THEN :now ELSE deregistered_at END AS gone FROM curs) c USING (subscription_id)", SUBS_SQL, CURS_SQL)
+def deregistered(spark, sf_dir):
+    subs, curs = control.deregister(subscriptions(spark), cursors(spark), "s1", NOW)
+    return subs.select("subscription_id", F.col("deregistered_at").alias("sub_gone")).join(curs.select("subscription_id", "cursor_id", F.col("deregistered_at").alias("cursor_gone")), "subscription_id")
+
+
+@query("SELECT event_id AS dl_id, CASE WHEN event_id = 582 THEN 2 ELSE 1 END AS attempts, CASE WHEN event_id % 2 = 0 AND event_id <> 582 THEN :now END AS replay_requested_at FROM bus WHERE event_id % 97 = 0 AND (event_id % 2 = 1 OR event_id >= 582)")
+def dlq_drained(spark, sf_dir):
+    """Every 97th event is a letter; the even ones are tried in order until 582 fails."""
+    rows = bus_events(spark, sf_dir).where("event_id % 97 = 0")
+    dead = rows.select(F.col("event_id").alias("dl_id"), "payload", F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("last_error"), F.when(F.col("event_id") % 2 == 0, NOW).cast("bigint").alias("replay_requested_at"))
+
+    def handler(letter: dict) -> None:
+        if letter["dl_id"] == 582:
+            raise ValueError("boom")
+
+    return dlq.drain_replays(dead, handler).select("dl_id", "attempts", "replay_requested_at")
+
+
+@query("SELECT doc_id, sha256(text) AS sha, strlen(text) AS size FROM documents WHERE text IS NOT NULL")
+def cas_get(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    store = cas.put(docs.select(F.col("text").alias("content")), None, NOW)[0]
+    return cas.get(docs.select("doc_id", F.sha2("text", 256).alias("sha")), store).select("doc_id", "sha", "size")
+
+
+@query("SELECT event_id, CASE WHEN nth % 7 = 0 THEN 'dead' ELSE 'delivered' END AS outcome FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS nth FROM bus WHERE event_id > 100 AND expires_at > :now AND starts_with(event_type, 'bus.ui.') AND position('.' IN substr(event_type, 8)) = 0) WHERE nth <= 50")
+def managed_batch(spark, sf_dir):
+    """One batch of a managed subscription whose handler refuses every seventh event for good."""
+    table = ControlLog(spark, scratch(spark, "control"))
+    table.put("subscriptions", subscriptions(spark).withColumns({"schema_version": F.lit(None).cast("string"), "health_check_interval_ms": F.lit(None).cast("bigint")}))
+    table.put("cursors", cursors(spark).withColumns({"push_socket_addr": F.lit(None).cast("string"), "lag_estimate": F.lit(None).cast("bigint")}))
+    seen: list[int] = []
+
+    def handler(e: dict) -> None:
+        if e["event_id"] not in seen:
+            seen.append(e["event_id"])
+        if len(seen) % 7 == 0:
+            raise ValueError("refused")
+
+    rows = bus_events(spark, sf_dir).drop("bucket")
+    Subscriber(table, lambda: rows, "c1", handler, max_retries=1, backoff_ms=(0,), clock=lambda: NOW).tick()
+    dead = table.read("dead_letters").select("event_id", F.lit("dead").alias("outcome"))
+    delivered = spark.createDataFrame([(x,) for x in seen], "event_id bigint").join(dead.select("event_id"), "event_id", "left_anti")
+    return dead.unionByName(delivered.select("event_id", F.lit("delivered").alias("outcome")))
+
+
 def _streamed(spark, sf_dir, make, schema: str, files_per_trigger: int | None = 1):
     """Runs a stream over the bus events, split in a few files, to its end, and reads what it appended."""
     folder = scratch(spark, "stream")
