@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,6 +103,7 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     if name not in _held:
         _held.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[name] = make()
     return _held[name]
 
