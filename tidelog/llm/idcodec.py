@@ -37,7 +37,7 @@ MODEL_BITS, MIX_BITS, CODE_BITS, MEMBER_BITS = 14, 8, 22, 16
 PRIOR_IDS, ADD = 512, 16
 REFRESH = (0, 32, 96, 256, 512, 768)
 #: Order 2: slots of a block's table, the most a prediction is trusted, and the next trust by the last after a miss or a hit.
-TABLE_BITS, TRUST = 8, 15
+TABLE_BITS, TRUST = 7, 15
 NEXT = np.array([max(t - (t >> 1), 1) for t in range(16)] + [min(t + 1, TRUST) for t in range(16)], np.int32)
 RATE = 1 / 32
 LIMIT, TOP, LOW32, S16 = float(1 << 32), float(1 << 48), float(1 << 32), float(1 << 16)
