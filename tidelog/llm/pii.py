@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 AT = r"[@\uff20]|[\[(]at[\])]"
-WORD = re.compile(rf"\S*(?:[0-9]|{AT})\S*")
+MARK = re.compile(rf"[0-9]|{AT}")
+SPACE = re.compile(r"\s")
 CORE = re.compile(r"[^\s.,;:!?()\[\]\"'#$%&*|]")
 #: What a secret is learned from: a value after one of these words.
 NAMED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9_\-+/]{16,})")
@@ -126,20 +127,38 @@ def _core(text: str, a: int, b: int) -> tuple[int, int]:
     return first.start(), b
 
 
+def _has_mark(text: str) -> bool:
+    return DIGIT.search(text) is not None or any(x in text for x in ("@", "\uff20", "[at]", "(at)", "[at)", "(at]"))
+
+
+def _marked(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the words at white space that have a mark, in time linear in the text."""
+    end = 0
+    for m in MARK.finditer(text):
+        if m.start() < end:
+            continue
+        start = m.start()
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        stop = SPACE.search(text, m.end())
+        end = stop.start() if stop else len(text)
+        yield start, end
+
+
 def words_of(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[str]]:
     """Spans, feature buckets and skip keys of the words with a digit or an at sign."""
     spans, features, keys = [], [], []
-    for m in WORD.finditer(text):
-        a, b = _core(text, *m.span())
+    for start, end in _marked(text):
+        a, b = _core(text, start, end)
         w = text[a:b]
         shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda d: f"9{min(len(d[0]), 20)}", w))
-        before = text[max(0, m.start() - 48) : m.start()].split()[-2:]
-        after = text[m.end() : m.end() + 24].split()
+        before = text[max(0, start - 48) : start].split()[-2:]
+        after = text[end : end + 24].split()
         only = "".join(c for c in w if c in "0123456789")
         turns = len(re.findall(r"[0-9][A-Za-z]", w))
         marks = "".join(sorted({c for c in w if not c.isalnum()}))
         check = luhn(only) if 14 <= len(only) <= 19 else None
-        spans.append(m.span())
+        spans.append((start, end))
         features.append(
             [
                 _f("bias"),
@@ -371,7 +390,7 @@ def annotate(docs: DataFrame, model: dict | None, fields: str, of: Callable[[str
             rows = []
             for t in texts:
                 base = base_spans(t)
-                rows.append(of(t, base, added_spans(t, base, m) if m is not None and WORD.search(t) else []))
+                rows.append(of(t, base, added_spans(t, base, m) if m is not None and _has_mark(t) else []))
             return [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)]
 
         return run
